@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import chat, mixing, quality, secrets
 
-_MODULES = (quality, mixing)
+_MODULES = (quality, chat, secrets, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
