@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, secrets
+from . import bpe, chat, mixing, quality, secrets, topk
 
-_MODULES = (quality, chat, secrets, mixing)
+_MODULES = (quality, chat, secrets, bpe, topk, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
