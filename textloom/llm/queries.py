@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, quality, secrets, topk
+from . import bpe, chat, langid, mixing, quality, secrets, topk, warc
 
-_MODULES = (quality, chat, secrets, bpe, topk, mixing)
+_MODULES = (quality, chat, secrets, bpe, topk, warc, langid, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
