@@ -117,9 +117,13 @@ def fail_bits() -> Column:
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with its measurements, ``fail_bits`` and the version of the rules that set them."""
+    """df with its measurements, ``fail_bits`` and the version of the rules that set them.
+
+    The bits go through a formally random condition that always holds: the optimizer then leaves a
+    filter on them where it is, instead of pushing it below and measuring again for each mention.
+    """
     measured = measure(df.drop("fail_bits", "rules_version"), text)
-    return measured.withColumn("fail_bits", fail_bits()).withColumn("rules_version", F.lit(RULES_VERSION))
+    return measured.withColumn("fail_bits", F.when(F.rand(0) >= 0, fail_bits())).withColumn("rules_version", F.lit(RULES_VERSION))
 
 
 def passes(policy: Policy, bits: str = "fail_bits") -> Column:

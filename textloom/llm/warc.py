@@ -2,7 +2,8 @@ r"""A deterministic sharded WARC writer, and a reader.
 
 Payload digests are computed in the JVM; for payloads of MIN_DEDUPE bytes or more, the smallest id of
 equal payloads is the response and the others revisit it. Digest groups are combined before the
-shuffle, and only digests that occur twice or more go into the join, so a hot payload costs its rows.
+shuffle, only digests that occur twice or more go into the join, and the references it finds are
+range-sorted together with the pages, each before its page.
 
 Records are range-sorted by id and streamed by each task into gzip members, one per record. A task
 starts a new file when the current one has ROLL_BYTES compressed bytes. Headers are regenerated from
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import remove, scratch, table
+from ._common import materialize, remove, scratch, table
 
 MIN_DEDUPE = 100
 ROLL_BYTES = 64 << 20
@@ -51,18 +52,15 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def classify(pages: DataFrame, min_dedupe: int = MIN_DEDUPE) -> DataFrame:
-    """(page_id, url, html) -> with payload_bytes, digest, refers_to (null for responses)."""
+def references(pages: DataFrame, min_dedupe: int = MIN_DEDUPE) -> DataFrame:
+    """(page_id, digest, refers_to) of the rows of pages(page_id, html) that revisit another's payload."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("digest"))
+    rows = pages.where(F.octet_length(payload) >= min_dedupe).select("page_id", F.sha2(payload, 256).alias("digest"))
     many = (
-        rows.where(F.col("payload_bytes") >= min_dedupe).groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+        rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
     )
-    # the join carries ids only; texts take one shuffle, the sort's
-    refs = rows.select("page_id", "digest").join(many, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
-    r = refs.alias("r")
-    return rows.alias("p").join(r, F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.digest") == F.col("r.digest")), "left").select("p.*", F.col("r.first").alias("refers_to"))
+    return rows.join(many, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def record_id(page_id, digest: str) -> str:
@@ -102,10 +100,18 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll: int, date: str,
             out = None
             rows.append((task, number - 1, state["tmp"], state["name"], state["n"], state["bytes"], sha.hexdigest(), state["first"], state["last"]))
 
+    revisits: dict[str, int] = {}  # of the id at hand, whose references come before its pages
+    at = None
     for batch in batches:
         names = ("page_id", "url", "html", "digest", "refers_to")
         for values in zip(*(batch.column(n) for n in names), strict=True):
             page_id, url, html, digest, refers_to = (v.as_py() for v in values)
+            if page_id != at:
+                revisits, at = {}, page_id
+            if refers_to is not None:
+                revisits[digest] = refers_to
+                continue
+            refers_to = revisits.get(digest)
             z = zlib.compressobj(level, zlib.DEFLATED, 31)
             packed = z.compress(record(page_id, url, html, digest, refers_to, date)) + z.flush()
             if out is not None and state["bytes"] + len(packed) > roll:
@@ -144,7 +150,11 @@ def write(pages: DataFrame, folder: str, partitions: int | None = None, roll: in
     """Write pages(page_id, url, html) to ``folder``; its manifest."""
     spark = pages.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = classify(pages).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "digest", "url")
+    refs = materialize(references(pages.select("page_id", "html")), "references").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    digest = F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
+    # references travel with the pages: payloads are shuffled once, by the sort
+    both = pages.select("page_id", "url", "html", digest.alias("digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(refs)
+    rows = both.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", F.col("refers_to").isNull(), "digest", "url")
     rows.mapInArrow(lambda b: _write(b, folder, roll, date, level), _MANIFEST).write.parquet(f"{folder}/_manifest.tmp")
     manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest.tmp")
     manifest.mapInArrow(lambda b: _rename(b, folder), _MANIFEST).write.parquet(f"{folder}/_manifest.done")
