@@ -48,9 +48,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda x: x != F.lit(""))
-
 
 def n_words(text: Column) -> Column:
     """Number of words (null: 0) without building them."""

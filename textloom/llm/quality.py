@@ -12,24 +12,25 @@ functions: no Python runs on executors, nothing is shuffled, memory is one text'
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NOT_SPACE, table, words
+from ._common import NOT_SPACE, SPACE, table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 
-#: Rule name -> SQL condition over the measurements under which a text fails; bit i is the i-th rule.
+#: Rule name -> condition over the measurements under which a text fails; bit i is the i-th rule.
 #: Written without division, so no ratio of an empty text is taken.
-RULES: dict[str, str] = {
-    "few_words": "n_words < 50",
-    "repeated_windows": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
-    "word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)",
-    "upper_case": "2 * n_upper > word_chars",
+RULES: dict[str, Callable[[Column], Column]] = {
+    "few_words": lambda m: m["n_words"] < 50,
+    "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
+    "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
+    "duplicate_lines": lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+    "word_length": lambda m: (m["n_words"] > 0) & ((m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    "upper_case": lambda m: 2 * m["n_upper"] > m["word_chars"],
 }
 RULES_VERSION = 1
 
@@ -52,64 +53,58 @@ STANDARD = Policy("standard", 1, tuple(RULES))
 POLICIES = (BASE, STANDARD)
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the MEASURES of its text column, each a long."""
-    df = df.drop(*[c for c in df.columns if c in MEASURES and c != text])
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is mentioned and wherever a filter moves it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _repeat_words(w: Column) -> Column:
+    """Words in 3-word windows that occur twice or more."""
+    zero = F.lit(0).cast("long")
+    # 64 bits tell the windows of one text apart
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+
+    def places(s: Column) -> Column:
+        flagged = F.transform(s, lambda x, k: F.when(same(x, F.get(s, k + 1)) | ((k > 0) & same(x, F.get(s, k - 1))), x["i"]).otherwise(F.lit(-1)))
+        return F.sort_array(F.filter(flagged, lambda i: i >= 0))
+
+    def covered(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1), x + 3) - x)), zero, lambda a, x: a + x)
+
+    def count(h: Column) -> Column:
+        # only texts in which a window repeats sort their windows
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), _let(pairs, lambda s: _let(places(s), covered))).otherwise(zero)
+
+    return F.when(F.size(w) >= 3, _let(windows, count)).otherwise(zero)
+
+
+def measurements(text: Column) -> Column:
+    """A struct of MEASURES and ``fail_bits``, all long, of a text."""
     size = lambda c: F.size(c).cast("long")
-    one = df.select(*keep, words(t).alias("__w"), lines.alias("__lines"))
-    two = one.select(
-        *keep,
-        size("__w").alias("n_words"),
-        F.aggregate("__w", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
-        F.char_length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        size("__lines").alias("n_lines"),
-        (size("__lines") - size(F.array_distinct("__lines"))).alias("n_dup_lines"),
-        F.char_length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
-        # the hash of each 3-word window; 64 bits tell the windows of one text apart
-        F.when(
-            F.size("__w") >= 3,
-            F.transform(
-                F.sequence(F.lit(0), F.size("__w") - 3),
-                lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)),
+
+    def of(t: Column) -> Column:
+        words_of = F.filter(F.split(t, SPACE + "+"), lambda x: x != F.lit(""))
+        lines_of = F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE))
+        return _let(
+            F.struct(words_of.alias("w"), lines_of.alias("l")),
+            lambda x: F.struct(
+                size(x["w"]).alias("n_words"),
+                F.aggregate(x["w"], F.lit(0).cast("long"), lambda a, y: a + F.char_length(y)).alias("word_chars"),
+                F.char_length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+                size(x["l"]).alias("n_lines"),
+                (size(x["l"]) - size(F.array_distinct(x["l"]))).alias("n_dup_lines"),
+                _repeat_words(x["w"]).cast("long").alias("n_repeat_words"),
+                F.char_length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
             ),
-        ).alias("__h"),
-    )
-    kept = [*keep, *[F.col(m) for m in MEASURES if m != "n_repeat_words"]]
-    # only texts in which a window repeats sort their windows
-    three = two.select(
-        *kept,
-        F.when(
-            F.size(F.array_distinct("__h")) < F.size("__h"),
-            F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ).alias("__s"),
-    )
-    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-    four = three.select(
-        *kept,
-        F.sort_array(
-            F.filter(
-                F.transform(
-                    "__s",
-                    lambda x, k: F.when(same(x, F.get("__s", k + 1)) | ((k > 0) & same(x, F.get("__s", k - 1))), x["i"]).otherwise(F.lit(-1)),
-                ),
-                lambda i: i >= 0,
-            )
-        ).alias("__p"),
-    )
-    covered = F.aggregate(
-        F.transform("__p", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("__p", k + 1), p + 3) - p)),
-        F.lit(0).cast("long"),
-        lambda a, x: a + x,
-    )
-    five = four.select(*kept, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
-    return five.select(*keep, *MEASURES)
+        )
+
+    return _let(of(F.coalesce(text, F.lit(""))), lambda m: F.struct(*[m[n].alias(n) for n in MEASURES], fail_bits(m).alias("fail_bits")))
 
 
-def fail_bits() -> Column:
-    bits = [F.when(F.expr(c), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(RULES.values())]
+def fail_bits(m: Column) -> Column:
+    bits = [F.when(c(m), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(RULES.values())]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
@@ -117,13 +112,11 @@ def fail_bits() -> Column:
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with its measurements, ``fail_bits`` and the version of the rules that set them.
-
-    The bits go through a formally random condition that always holds: the optimizer then leaves a
-    filter on them where it is, instead of pushing it below and measuring again for each mention.
-    """
-    measured = measure(df.drop("fail_bits", "rules_version"), text)
-    return measured.withColumn("fail_bits", F.when(F.rand(0) >= 0, fail_bits())).withColumn("rules_version", F.lit(RULES_VERSION))
+    """df with its measurements, ``fail_bits`` and the version of the rules that set them."""
+    new = (*MEASURES, "fail_bits", "rules_version")
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in new]
+    measured = df.select(*keep, measurements(F.col(f"`{text}`")).alias("__ledger"))
+    return measured.select(*keep, "__ledger.*", F.lit(RULES_VERSION).alias("rules_version"))
 
 
 def passes(policy: Policy, bits: str = "fail_bits") -> Column:
