@@ -12,9 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .unicode import class_map
+from .unicode import class_map, pictographs
 
-_BREAK = regex.compile(r"(?w)\b")
 #: ASCII words: letters join over one : . ' and digits over one , ; . '
 _ASCII_WORD = re.compile(r"(?:[A-Za-z0-9_]*(?:[A-Za-z](?:[:.'][A-Za-z])+|[0-9](?:[,;.'][0-9])+))*[A-Za-z0-9_]*")
 #: A segment is word-like with a character of these; Katakana's and others' class says so by script.
@@ -35,9 +34,45 @@ _SEGMENT = T.StructType(
 )
 
 
+class _Classes(dict):
+    def __missing__(self, c: int) -> str:
+        return "o"
+
+
+#: Word_Break classes and their letters; p and P are letters and others that are pictographs.
+_WB = (
+    ("CR", "C"), ("LF", "L"), ("Newline", "N"), ("Extend", "E"), ("Format", "F"), ("ZWJ", "Z"), ("Katakana", "K"), ("Hebrew_Letter", "H"), ("ALetter", "A"),
+    ("Single_Quote", "q"), ("Double_Quote", "Q"), ("MidNumLet", "B"), ("MidLetter", "M"), ("MidNum", "m"), ("Numeric", "D"), ("ExtendNumLet", "X"),
+    ("Regional_Indicator", "R"), ("WSegSpace", "S"),
+)
+
+
+def _word_pattern() -> re.Pattern[str]:
+    """One segment on the string of class letters. In the rules below a blank stands for what extends a character."""
+    letters = "(?:H Q (?=H)|[AHp] (?:[MBq] (?=[AHp]))?|D (?:[mBq] (?=D))?)"
+    kana = "(?:K )"
+    run = f"(?:X )*(?:{letters}+|{kana}+)?(?:(?:X )+(?:{letters}+|{kana}+)?)*"
+    # a Hebrew letter keeps a single quote after it, which then ends the run unless a letter follows
+    run = f"(?:{run}H q (?![AHp])|(?=[XAHpDK]){run})"
+    base = f"(?:{run}|R (?:R )?|S+ |[^CLN] )"
+    # a joiner holds the pictograph after it
+    return re.compile(f"CL|[CLN]|{base}(?:(?<=Z)(?=[Pp]){base})*".replace(" ", "[EFZ]*+"))
+
+
+_SEGMENT_OF = _word_pattern()
+
+
+@lru_cache(maxsize=1)
+def _word_classes() -> _Classes:
+    table = _Classes(class_map("WB", _WB))
+    for c in pictographs():
+        table[c] = {"A": "p", "o": "P"}.get(table.get(c, "o"), table.get(c, "o"))
+    return table
+
+
 def word_boundaries(text: str) -> list[int]:
     """Character offsets of word boundaries, 0 and the end included; none for an empty text."""
-    return [m.start() for m in _BREAK.finditer(text)] if text else []
+    return [0, *(m.end() for m in _SEGMENT_OF.finditer(text.translate(_word_classes())))] if text else []
 
 
 def is_word_like(segment: str) -> bool:
@@ -62,11 +97,6 @@ def _sentence_classes() -> dict[int, str]:
     return class_map("SB", _SB)
 
 
-class _Classes(dict):
-    def __missing__(self, c: int) -> str:
-        return "o"
-
-
 @lru_cache(maxsize=1)
 def _table() -> _Classes:
     return _Classes(_sentence_classes())

@@ -24,6 +24,11 @@ def class_map(prop: str, codes: tuple[tuple[str, str], ...]) -> dict[int, str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def pictographs() -> frozenset[int]:
+    return frozenset(ord(m[0]) for m in regex.finditer(r"\p{Extended_Pictographic}", _EVERY))
+
+
 @lru_cache(maxsize=1)
 def lower_map() -> dict[int, str]:
     """Full lower case of each code point by itself: no rule looks at neighbours, so sigma is never final."""
