@@ -20,9 +20,12 @@ from pyspark.sql import types as T
 from ..functions import segment
 from ..functions.stopwords import LANGUAGES, stop_words
 from ..functions.unicode import WHITE_SPACE, fold_map, lower_map
-from . import stem_english
+from . import stem_english, stem_germanic, stem_romance
 
-STEMMERS = {"english": stem_english.stem}
+STEMMERS = {
+    "english": stem_english.stem, "german": stem_germanic.german, "swedish": stem_germanic.swedish, "norwegian": stem_germanic.norwegian,
+    "danish": stem_germanic.danish, "spanish": stem_romance.spanish, "french": stem_romance.french,
+}
 _SPLIT = re.compile(f"[^{WHITE_SPACE}]+")
 TOKEN = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("position", "position_length", "byte_start", "byte_end", "input_index"))])
 

@@ -15,6 +15,7 @@ from ..sources import tables
 
 #: Query texts of the scoring queries: fixed values.
 SEARCHES = ("the and of", "in the ation of the", "der die das und", "de la les", "que el la de")
+_CODES = {"english": "en", "german": "de", "french": "fr", "spanish": "es"}
 WHITESPACE = Analyzer(tokenizer="whitespace")
 
 
@@ -86,8 +87,15 @@ def analyze_full(spark, sf_dir):
     return d.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.xxhash64("w").alias("tokens_hash"))
 
 
-def stem_english(spark, sf_dir):
-    return _read(spark, sf_dir, "documents", F.explode(Analyzer(stemming=True).terms(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+def _stems(language: str):
+    """Counts of stems of a language's documents."""
+
+    def query(spark, sf_dir):
+        d = tables.read(spark, sf_dir, "documents").where(F.col("lang") == _CODES[language])
+        terms = Analyzer(stemming=True, language=language).terms(F.col("text"))
+        return d.select(F.explode(terms).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+
+    return query
 
 
 def term_stats(spark, sf_dir):
@@ -163,7 +171,10 @@ QUERIES = {
     "word_break_counts": word_break_counts,
     "sentence_counts": sentence_counts,
     "analyze_full": analyze_full,
-    "stem_english": stem_english,
+    "stem_english": _stems("english"),
+    "stem_german": _stems("german"),
+    "stem_french": _stems("french"),
+    "stem_spanish": _stems("spanish"),
     "term_stats": term_stats,
     "significance": significance,
     "completeness": completeness,
