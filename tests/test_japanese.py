@@ -52,3 +52,17 @@ def test_columns(spark):
     df = spark.createDataFrame([("ちょっとゃ", "ァㇷ゚ー", "コーヒー", "İΣA"), (None, None, None, None)], "a string, b string, c string, d string")
     r = df.select(ja.hiragana_uppercase(F.col("a")), ja.katakana_uppercase(F.col("b")), ja.katakana_stem(F.col("c")), ja.lowercase(F.col("d")), ja.width(F.lit("ﾊﾟ")), ja.expand_iteration_marks(F.lit("時々")), ja.normalize_number(F.lit("二十"))).collect()
     assert tuple(r[0]) == ("ちよつとや", "アプー", "コーヒ", "iσa", "パ", "時時", "20") and tuple(r[1])[:4] == (None,) * 4
+
+
+TABLE = ja.keystroke_table(["# comment", "シ,si,shi", "ン,n,nn", "カ,ka", "シャ,sha,sya,", "ッカ,kka"])
+
+
+@pytest.mark.parametrize("text,want", [("シン", ["sin", "shin", "sinn", "shinn"]), ("シャ", ["sha", "sya"]), ("カx", ["kax"]), ("xカ", []), ("", []), ("ッカ", ["kka"])])
+def test_keystrokes(text, want):
+    assert ja.keystrokes(text, TABLE) == want
+
+
+def test_completion():
+    t = [{**x, "reading": r} for x, r in zip(tokens("下", "か", "か", "k"), ("シ", None, None, None), strict=True)]
+    assert [(x["text"], x["position_increment"]) for x in ja.completion(t, TABLE)] == [("下", 1), ("si", 0), ("shi", 0), ("か", 1), ("ka", 0), ("か", 1), ("ka", 0), ("k", 1)]
+    assert [x["text"] for x in ja.completion(t, TABLE, query=True)] == ["下", "si", "shi", "かかk", "kakak"]

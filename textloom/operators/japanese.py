@@ -330,3 +330,65 @@ def expand_iteration_marks(text: Column, kanji: bool = True, kana: bool = True)
 
 def normalize_number(text: Column, numerals: Numerals = JAPANESE) -> Column:
     return _text_udf(numerals.normalize)(text)
+
+# -- romanization by keystrokes ---------------------------------------------------------------------
+
+
+def keystroke_table(lines) -> dict[str, list[str]]:
+    """Katakana unit -> its spellings, of lines ``unit,spelling,...`` (# starts a comment; a later line replaces an earlier)."""
+    out: dict[str, list[str]] = {}
+    for line in lines:
+        unit, *spellings = line.strip().rstrip(",").split(",")
+        if spellings and not line.startswith("#"):
+            out[unit] = spellings
+    return out
+
+
+def keystrokes(katakana: str, table: dict[str, list[str]]) -> list[str]:
+    """All spellings that type a text, units matched longest first; from the first character that no unit
+    starts with, the rest stays as it is. Nothing, if that is the first."""
+    units = sorted(table, key=len, reverse=True)
+    unit = re.compile("|".join(map(re.escape, units)) or "(?!)")
+    out: list[str] = []
+    at = 0
+    while m := unit.match(katakana, at):
+        more = table[m[0]]
+        out = [p + c for c in more for p in out] if out else list(more)
+        at = m.end()
+    return [p + katakana[at:] for p in out]
+
+
+_KANA = re.compile("[ぁ-ゖ゛-ゟ゠-ヿ]*")
+_LETTERS = re.compile("[a-zａ-ｚ]*")
+_KATAKANA_OR_LETTERS = re.compile("[゠-ヿa-zａ-ｚ]*")
+
+
+def completion(tokens: list[dict], table: dict[str, list[str]], query: bool = False) -> list[dict]:
+    """Each surface with, stacked on it, the keystrokes that type its reading; for queries, neighbouring kana
+    tokens are one, and letters after another token belong to it (a half-typed syllable)."""
+    out: list[dict] = []
+
+    def emit(surface: str, reading: str, start: int, end: int) -> None:
+        spelled = keystrokes(reading, table) if reading and _KATAKANA_OR_LETTERS.fullmatch(reading) else []
+        for i, text in enumerate([surface, *spelled]):
+            out.append({"text": text, "position_increment": int(i == 0), "position_length": 1, "byte_start": start, "byte_end": end})
+
+    wait: list | None = None
+    for t in tokens:
+        surface = t["text"]
+        reading = t.get("reading")
+        if reading is None:  # unknown words: kana read as themselves, others as the word null
+            reading = surface.translate({c: c + 0x60 for c in range(0x3041, 0x3097)}) if _KANA.fullmatch(surface) else "null"
+        if wait is None:
+            wait = [surface, reading, t["byte_start"], t["byte_end"]]
+        elif query and not _LETTERS.fullmatch(wait[0]) and _LETTERS.fullmatch(surface):
+            emit(wait[0] + surface, wait[1] + surface, wait[2], t["byte_end"])
+            wait = None
+        elif query and _KANA.fullmatch(wait[0]) and _KANA.fullmatch(surface):
+            wait = [wait[0] + surface, wait[1] + reading, wait[2], t["byte_end"]]
+        else:
+            emit(*wait)
+            wait = [surface, reading, t["byte_start"], t["byte_end"]]
+    if wait is not None:
+        emit(*wait)
+    return out
