@@ -7,11 +7,11 @@ significance); the greedy and the segment-searching features run in Arrow-batche
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,12 +170,27 @@ class _Start:
         self.best, self.origin, self.looked, self.skipped, self.open = best, origin, 0, 0, True
 
 
-def _grow(query: list[str], where: dict[str, list[int]], n: int, at: int, start: _Start) -> tuple[int, tuple[tuple[int, int], ...]] | None:
+class _Field:
+    """Where terms are, in the order in which they are looked at from an origin."""
+
+    def __init__(self, where: dict[str, list[int]], n: int):
+        self.where, self.n = where, n
+        self._ranked: dict[tuple[str, int], list[tuple[int, int]]] = {}
+
+    def next(self, term: str, origin: int, least: int) -> tuple[int, int] | None:
+        """(rank, index) of the term's first occurrence at a rank of ``least`` or more."""
+        if (ranked := self._ranked.get((term, origin))) is None:
+            ranked = self._ranked[term, origin] = sorted((_rank(j, origin, self.n), j) for j in self.where.get(term, ()))
+        k = bisect_left(ranked, (least,))
+        return ranked[k] if k < len(ranked) else None
+
+
+def _grow(query: list[str], field: _Field, at: int, start: _Start) -> tuple[int, tuple[tuple[int, int], ...]] | None:
     """The next segment from a start and the query index after it, or None if there is none left."""
     segment: list[tuple[int, int]] = []
     origin, looked = start.origin, start.looked
     for i in range(at + start.skipped, len(query)):
-        ranked = min(((r, j) for j in where.get(query[i], ()) if (r := _rank(j, origin, n)) >= looked), default=None)
+        ranked = field.next(query[i], origin, looked)
         j = -1 if ranked is None else ranked[1]
         if not segment:
             if j < 0:
@@ -196,10 +211,11 @@ def _grow(query: list[str], where: dict[str, list[int]], n: int, at: int, start:
 def segmentation(query: list[str], where: dict[str, list[int]], n: int) -> Segments:
     """The segmentation the search ends with: per start the best-rated one, the earlier of equals."""
     starts: dict[int, _Start] = {0: _Start((), 0)}
+    field = _Field(where, n)
     at, tries = 0, 0
     while True:
         start = starts[at]
-        grown = _grow(query, where, n, at, start)
+        grown = _grow(query, field, at, start)
         if grown is None:
             start.open = False
         else:
@@ -304,22 +320,31 @@ def field_match(query: Field, document: Field, stats: Callable[[str], tuple[int,
 # -- Arrow-batched UDFs over token structs (text, position, ...) ------------------------------------
 
 
-def _fields(tokens) -> list[tuple[str, int]]:
-    return [(t["text"], t["position"]) for t in tokens] if tokens is not None else []
+def _fields(tokens: pa.Array) -> list[list[tuple[str, int]]]:
+    """(term, position) of each row's token structs, read from the Arrow columns of the structs."""
+    inner = tokens.values
+    terms, positions = inner.field("text").to_pylist(), inner.field("position").to_pylist()
+    offsets = tokens.offsets.to_pylist()
+    return [list(zip(terms[a:b], positions[a:b], strict=True)) if ok else [] for a, b, ok in zip(offsets[:-1], offsets[1:], tokens.is_valid().to_pylist(), strict=True)]
+
+
+def _struct(rows: list[tuple[float, ...]], names: tuple[str, ...]) -> pa.Array:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], list(names))
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in SIMILARITY]))
-def _similarity_udf(query: pd.Series, document: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([similarity(_fields(q), _fields(d)) for q, d in zip(query, document, strict=True)], columns=list(SIMILARITY))
+@F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in SIMILARITY]))
+def _similarity_udf(query: pa.Array, document: pa.Array) -> pa.Array:
+    return _struct([similarity(q, d) for q, d in zip(_fields(query), _fields(document), strict=True)], SIMILARITY)
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in FIELD_MATCH]))
-def _field_match_udf(query: pd.Series, document: pd.Series, stats: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in FIELD_MATCH]))
+def _field_match_udf(query: pa.Array, document: pa.Array, stats: pa.Array) -> pa.Array:
     rows = []
-    for q, d, s in zip(query, document, stats, strict=True):
-        known = {x["term"]: (x["document_frequency"], x["document_count"], x["weight"]) for x in s} if s is not None else {}
-        rows.append(field_match(_fields(q), _fields(d), lambda t, k=known: k.get(t, (0, 0, 100))))
-    return pd.DataFrame(rows, columns=list(FIELD_MATCH))
+    for q, d, s in zip(_fields(query), _fields(document), stats.to_pylist(), strict=True):
+        known = {x["term"]: (x["document_frequency"], x["document_count"], x["weight"]) for x in s or ()}
+        rows.append(field_match(q, d, lambda t, k=known: k.get(t, (0, 0, 100))))
+    return _struct(rows, FIELD_MATCH)
 
 
 def element_similarity(query: Column, document: Column) -> Column:

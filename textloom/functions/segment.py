@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,30 +144,42 @@ def to_bytes(text: str, offsets: list[int]) -> list[int]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _word_breaks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else to_bytes(t, word_boundaries(t)))
+def _lists(rows: list, values: pa.Array, null: pa.Array) -> pa.Array:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=null if null.true_count else None)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _sentence_breaks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else to_bytes(t, sentence_boundaries(t)))
+def _breaks(texts: pa.Array, boundaries) -> pa.Array:
+    rows = [[] if t is None else to_bytes(t, boundaries(t)) for t in texts.to_pylist()]
+    return _lists(rows, pa.array([x for r in rows for x in r], pa.int32()), texts.is_null())
 
 
-@F.pandas_udf(T.ArrayType(_SEGMENT))
-def _word_segments(texts: pd.Series) -> pd.Series:
-    def one(t):
-        if t is None:
-            return None
-        cuts = word_boundaries(t)
-        b = to_bytes(t, cuts)
-        out = []
-        for i in range(len(cuts) - 1):
-            s = t[cuts[i] : cuts[i + 1]]
-            out.append({"byte_start": b[i], "byte_end": b[i + 1], "word_like": is_word_like(s), "is_ascii": s.isascii(), "has_ascii_upper": any("A" <= c <= "Z" for c in s)})
-        return out
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _word_breaks(texts: pa.Array) -> pa.Array:
+    return _breaks(texts, word_boundaries)
 
-    return texts.map(one)
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _sentence_breaks(texts: pa.Array) -> pa.Array:
+    return _breaks(texts, sentence_boundaries)
+
+
+_UPPER = re.compile("[A-Z]")
+
+
+@F.arrow_udf(T.ArrayType(_SEGMENT))
+def _word_segments(texts: pa.Array) -> pa.Array:
+    rows = []
+    for t in texts.to_pylist():
+        cuts = word_boundaries(t or "")
+        b = to_bytes(t or "", cuts)
+        parts = [t[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)] if cuts else []
+        rows.append([(b[i], b[i + 1], is_word_like(s), s.isascii(), _UPPER.search(s) is not None) for i, s in enumerate(parts)])
+    columns = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * 5
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())
+    fields = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return _lists(rows, pa.StructArray.from_arrays(fields, _SEGMENT.names), texts.is_null())
 
 
 def word_breaks(text: Column) -> Column:

@@ -12,8 +12,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,15 @@ _SPLIT = re.compile(f"[^{WHITE_SPACE}]+")
 TOKEN = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("position", "position_length", "byte_start", "byte_end", "input_index"))])
 
 
+def token_lists(rows: list[list[tuple]], null: pa.Array) -> pa.Array:
+    """Rows of TOKEN tuples as one Arrow array; no object is made for a token's struct."""
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    columns = list(zip(*(t for r in rows for t in r), strict=True)) or [()] * len(TOKEN.names)
+    fields = [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, TOKEN.names), mask=null if null.true_count else None)
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """Options, checked when made. language: of stop words and stemming."""
@@ -95,11 +105,10 @@ class Analyzer:
         """array<TOKEN> of a text column, or of an array of texts if ``many`` (null: null)."""
         analyze = self.analyze
 
-        @F.pandas_udf(T.ArrayType(TOKEN))
-        def run(texts: pd.Series) -> pd.Series:
-            names = TOKEN.names
-            one = lambda t: [dict(zip(names, x, strict=True)) for x in analyze([y or "" for y in t] if many else [t])]
-            return texts.map(lambda t: None if t is None else one(t))
+        @F.arrow_udf(T.ArrayType(TOKEN))
+        def run(texts: pa.Array) -> pa.Array:
+            rows = [[] if t is None else list(analyze([y or "" for y in t] if many else [t])) for t in texts.to_pylist()]
+            return token_lists(rows, texts.is_null())
 
         return run(text)
 
@@ -113,6 +122,16 @@ class Analyzer:
         return F.transform(self.tokens(text), lambda t: t["text"])
 
 
+def exploded(df: DataFrame, array: str, name: str) -> DataFrame:
+    """df with a row for each element of an array column, in column ``name``; other columns but the array stay.
+
+    Unlike explode(), explode_outer() makes the optimizer infer no filter on the array's size, for which a
+    UDF that makes the array would run a second time.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c != array]
+    return df.select(*rest, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def lower(text: Column) -> Column:
     """Lower case of each code point by itself, in the JVM: Spark's own, but for the sigma at a word's end."""
     return F.lower(F.replace(F.replace(text, F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i̇")))

@@ -10,7 +10,7 @@ from ..functions import features, segment
 from ..functions.stopwords import stop_words
 from ..functions.unicode import fold_map
 from ..operators import corpus
-from ..operators.analyzer import Analyzer, ascii_fold
+from ..operators.analyzer import Analyzer, ascii_fold, exploded
 from ..sources import tables
 
 #: Query texts of the scoring queries: fixed values.
@@ -64,7 +64,7 @@ def ascii_fold_text(spark, sf_dir):
 
 def uax29_words_latin(spark, sf_dir):
     d = _read(spark, sf_dir, "documents", "doc_id", Analyzer(case_sensitive=True).tokens(F.col("text")).alias("w"))
-    return d.select("doc_id", F.explode("w").alias("t")).select("doc_id", F.col("t.position").cast("long").alias("position"), "t.text")
+    return exploded(d, "w", "t").select("doc_id", F.col("t.position").cast("long").alias("position"), "t.text")
 
 
 def word_break_counts(spark, sf_dir):
@@ -93,7 +93,7 @@ def _stems(language: str):
     def query(spark, sf_dir):
         d = tables.read(spark, sf_dir, "documents").where(F.col("lang") == _CODES[language])
         terms = Analyzer(stemming=True, language=language).terms(F.col("text"))
-        return d.select(F.explode(terms).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+        return exploded(d.select(terms.alias("w")), "w", "stem").groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
     return query
 
@@ -156,7 +156,7 @@ def multi_input_positions(spark, sf_dir):
     c = _read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     tokens = WHITESPACE.tokens(F.transform("t", lambda x: F.coalesce(x["text"], F.lit(""))), many=True)
-    x = turns.select("conv_id", tokens.alias("w")).select("conv_id", F.explode("w").alias("t"))
+    x = exploded(turns.select("conv_id", tokens.alias("w")), "w", "t")
     long = lambda n: F.col(f"t.{n}").cast("long").alias(n)
     return x.select("conv_id", long("position"), long("input_index"), "t.text")
 
