@@ -20,7 +20,11 @@ WHITESPACE = Analyzer(tokenizer="whitespace")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return tables.read(spark, sf_dir, name).select(*columns)
+    return _spread(spark, sf_dir, name).select(*columns)
+
+
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return tables.spread(tables.read(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
 
 
 def _searches() -> Column:
@@ -91,7 +95,7 @@ def _stems(language: str):
     """Counts of stems of a language's documents."""
 
     def query(spark, sf_dir):
-        d = tables.read(spark, sf_dir, "documents").where(F.col("lang") == _CODES[language])
+        d = _spread(spark, sf_dir, "documents").where(F.col("lang") == _CODES[language])
         terms = Analyzer(stemming=True, language=language).terms(F.col("text"))
         return exploded(d.select(terms.alias("w")), "w", "stem").groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 

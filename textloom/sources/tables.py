@@ -6,10 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SMALL = 64 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """df over all cores where its files are fewer than these: a file of one row group is one task.
+
+    The rows move once, and only if the whole table is smaller than SMALL a core; large tables have enough
+    files and stay as they are. One call asks the file system for the number and size of the files.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    about = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p)
+    return df.repartition(cores) if about.getFileCount() < cores and about.getLength() < SMALL * cores else df
+
+
 def texts(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
     """The text column of Parquet files; nothing else is read."""
     return spark.read.parquet(path).select(F.col(column).alias("text"))
