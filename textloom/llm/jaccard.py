@@ -14,9 +14,10 @@ than they save here.)
 Exact copies fold into one node (the fingerprint of its set) before anything is compared. Nodes that share
 a signature are candidates. No list of all pairs is made:
 
-* each signature's nodes pair with its smallest node only; distinct pairs pass two exact filters (size,
+* each signature's nodes pair with its center only, the node with most shared signatures (a copied text
+  rather than a copy); distinct pairs pass two exact filters (size,
   and the parity of a bitmap, whose difference bounds the sets' difference from below), then rounds
-  verify a few pairs of each node, 4 times as many in each, link them, and drop what is connected by then;
+  verify TAKE pairs of each node, TAKE times as many in each, link them, and drop what is connected by then;
 * signatures of three nodes or more whose nodes are still in different components give their other
   pairs, across components only and filtered in tiles of TILE nodes, so none is lost, and rounds go on.
 
@@ -52,6 +53,10 @@ SLACK = 0.15
 CHUNK = 1 << 20
 BLOB = 4 << 20
 TILE = 512
+#: Pairs of a node that the first round verifies, and by how much each further round takes more.
+TAKE = 16
+#: Pairs a task remembers, not to send them again; forgetting costs a repeated row, no result.
+SEEN = 1_000_000
 #: Words of the bitmap that lets through the ids of candidates: a fixed size.
 SIEVE = 1 << 17
 
@@ -312,8 +317,11 @@ def _shared(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(x[take]) for x in (s_gid, s_n, s_f, s_m)], names=["gid", "node", "first", "m"])
 
 
-def _candidates(batches, sieve_b) -> Iterator[pa.RecordBatch]:
-    """Node, size, bitmap and compressed text of documents whose id passes the sieve."""
+_ABOUT_SQL, _TEXT_SQL = "doc_id long, fp binary, node long, n long, bits binary", "doc_id long, fp binary, node long, ztext binary"
+
+
+def _chosen(batches, sieve_b, texts_too: bool) -> Iterator[pa.RecordBatch]:
+    """Of documents whose id passes the sieve: node, and size and bitmap or the compressed text."""
     sieve = sieve_b.value
     for batch in batches:
         x = np.asarray(batch.column("h"), np.int64)
@@ -322,10 +330,27 @@ def _candidates(batches, sieve_b) -> Iterator[pa.RecordBatch]:
             h, bounds = sets_of(texts)
             parts = [h[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             fps = [fingerprint(p) for p in parts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array([node_of(f) for f in fps], pa.int64()), pa.array(np.diff(bounds)), pa.array([bitmap(p) for p in parts], pa.binary()), pa.array([zstandard.compress(t, 3) for t in texts], pa.binary())],
-                names=["doc_id", "fp", "node", "n", "bits", "ztext"],
-            )
+            columns = [pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array([node_of(f) for f in fps], pa.int64())]
+            if texts_too:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([zstandard.compress(t, 3) for t in texts], pa.binary())], names=["doc_id", "fp", "node", "ztext"])
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array([bitmap(p) for p in parts], pa.binary())], names=["doc_id", "fp", "node", "n", "bits"])
+
+
+def _load(docs: DataFrame, wanted: DataFrame, texts_too: bool) -> DataFrame:
+    """Rows of _chosen for wanted(node, fp, rep), one a node.
+
+    A sieve of fixed size lets the wanted ids through and few others, so that what is not wanted is
+    neither worked on nor shuffled; the join makes it exact.
+    """
+    spark = docs.sparkSession
+    words = wanted.select(_slot("rep").alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v")).toArrow()
+    sieve = np.zeros(SIEVE, np.int64)
+    sieve[np.asarray(words.column("w"))] = np.asarray(words.column("v"))
+    sieve_b = spark.sparkContext.broadcast(sieve)
+    rows = docs.where("doc_id IS NOT NULL").withColumn("h", _slot("doc_id")).mapInArrow(lambda b: _chosen(b, sieve_b, texts_too), _TEXT_SQL if texts_too else _ABOUT_SQL)
+    found = rows.join(wanted.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi")
+    return found.dropDuplicates(["doc_id", "fp"]).drop("doc_id", "fp")
 
 
 def _sift(batches) -> Iterator[pa.RecordBatch]:
@@ -346,60 +371,124 @@ def _verify(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _tile(rows: pa.Table) -> pa.Table:
+def folded(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps folded to the least of their widths, as rows of 64-bit words."""
+    least = min(map(len, bits))
+    out = np.empty((len(bits), least // 8), np.uint64)
+    for i, b in enumerate(bits):
+        x = np.frombuffer(b, np.uint64)
+        while len(x) > out.shape[1]:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
+def _tile(rows: pa.Table) -> tuple[list[int], list[int]]:
     """Possible pairs of different components between two tiles of one group (or in one)."""
-    node, comp, n = (np.asarray(rows.column(c), np.int64) for c in ("node", "comp", "n"))
-    side = rows.column("side").to_pylist()
+    node, comp, n, side = (np.asarray(rows.column(c), np.int64) for c in ("node", "comp", "n", "side"))
+    left, right = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2))
+    a: list[int] = []
+    b: list[int] = []
+    if not len(right) or not len(left) or comp.min() == comp.max():
+        return a, b
     bits = rows.column("bits").to_pylist()
-    left = [i for i, s in enumerate(side) if s in (0, 2)]
-    right = [i for i, s in enumerate(side) if s in (1, 2)]
-    out = []
-    r = np.array(right, np.int64)
-    for i in left:
-        if not len(r):
-            break
-        near = (comp[r] != comp[i]) & (100 * np.minimum(n[r], n[i]) >= PERCENT * np.maximum(n[r], n[i]))
-        for j in r[near].tolist():
-            if (side[i] != 2 or node[i] < node[j]) and parity_distance(bits[i], bits[j]) <= max_difference(int(n[i] + n[j])):
-                out.append((min(node[i], node[j]), max(node[i], node[j])))
-    out = sorted(set(out))
-    return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links(a, b) -> (node, comp): the smallest node reachable, for nodes that have a link."""
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    words = folded(bits)
+    for i in left.tolist():
+        near = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
+        if side[i] == 2:
+            near &= node[right] > node[i]
+        r = right[near]
+        r = r[np.bitwise_count(words[r] ^ words[i]).sum(axis=1) <= max_difference(n[r] + n[i])]
+        for j in r.tolist():
+            if possible(int(n[i]), int(n[j]), bits[i], bits[j]):
+                a.append(int(min(node[i], node[j])))
+                b.append(int(max(node[i], node[j])))
+    return a, b
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_tile of each (gid, x, y), whose rows follow each other; a pair goes out once per task's memory of SEEN."""
+    parts: list[pa.RecordBatch] = []
+    key = None
+    seen: set[tuple[int, int]] = set()
+
+    def flush() -> pa.RecordBatch | None:
+        new = [p for p in zip(*_tile(pa.Table.from_batches(parts)), strict=True) if p not in seen]
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(new)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"]) if new else None
+
+    for batch in batches:
+        k = np.stack([np.asarray(batch.column(c), np.int64) for c in ("gid", "x", "y")])
+        cut = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if hi == lo:
+                continue
+            this = tuple(k[:, lo].tolist())
+            if this != key and parts:
+                if (out := flush()) is not None:
+                    yield out
+                parts = []
+            key = this
+            parts.append(batch.slice(lo, hi - lo))
+    if parts and (out := flush()) is not None:
+        yield out
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """edges(a, b), distinct -> (node, root): the smallest node reachable, by least neighbours and jumps."""
+    both = materialize(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        # jump: the label of one's label
-        to = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = materialize(step.join(to, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if new.where("was <> comp").isEmpty():
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        # jump: to the label of one's label
+        to = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = materialize(step.join(to, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
+        labels = new.select("node", "root")
+        if new.where("was <> root").isEmpty():
             return labels
 
 
-def _rounds(pairs: DataFrame, cand: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verify pairs(a, b) of candidates until each is verified or connected; all links and components."""
-    take = 4
+def _endpoints(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs(a, b) with the components ca and cb of both ends, a node without one being its own."""
+    la, lb = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    return pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+
+
+def components(fresh: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, comp) after links fresh(a, b) join the components of labels: only components that they touch are
+    looked at, each as one node. comp is the smallest node of a component."""
+    if labels is None:
+        return _roots(fresh).select("node", F.col("root").alias("comp"))
+    ends = materialize(_endpoints(fresh, labels), "ends")
+    edges = ends.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    if edges.isEmpty():
+        return labels
+    roots = _roots(edges).withColumnRenamed("node", "comp")
+    nodes = labels.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
+    return materialize(nodes.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "components")
+
+
+def _rounds(pairs: DataFrame, docs: DataFrame, wanted: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """Verify pairs(a, b) of candidates until each is verified or connected; the components."""
+    take, text = TAKE, None
     while not pairs.isEmpty():
+        if text is None:
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            text = materialize(_load(docs, wanted.join(ends, "node", "left_semi"), True), "texts", "none")
         if labels is not None:
-            la, lb = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-            apart = ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
-            pairs = pairs.join(la, "a", "left").join(lb, "b", "left").where(apart).select("a", "b")
+            pairs = _endpoints(pairs, labels).where("ca <> cb").select("a", "b")
         ranked = materialize(pairs.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("a"))), "ranked")
         now = ranked.where(F.col("r") <= take).select("a", "b")
-        text = cand.select("node", "ztext")
         full = now.join(text.withColumnRenamed("node", "b").withColumnRenamed("ztext", "text_b"), "b").join(text.withColumnRenamed("node", "a").withColumnRenamed("ztext", "text_a"), "a")
         fresh = materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, linked boolean"), "verified").where("linked").select("a", "b")
         if not fresh.isEmpty():
-            links = fresh if links is None else links.union(fresh)
-            labels = components(links)
+            labels = components(fresh, labels)
         pairs = ranked.where(F.col("r") > take).select("a", "b")
-        take *= 4
-    return links, labels
+        take *= TAKE
+    return labels
 
 
 def _slot(column: str) -> Column:
@@ -416,25 +505,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * 8 // (16 << 20))
     signed = docs.where("doc_id IS NOT NULL").mapInArrow(lambda b: _signed(b, n_buckets), "bucket int, blob binary")
     groups = materialize(signed.groupBy("bucket").applyInArrow(_shared, _GROUPS_SQL), "groups")
-    star = materialize(groups.where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "star")
+    # the center of a larger group is its node with most shared signatures: of copies, what they are copies of
+    two, many = groups.where("m = 2 AND node <> first").select("first", "node"), groups.where("m > 2").select("gid", "node", "m")
+    degree = two.select("node").union(two.select("first")).union(many.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    center = many.join(degree, "node").groupBy("gid").agg(F.max(F.struct("degree", "node"))["node"].alias("first"))
+    spokes = many.join(center, "gid").where("node <> first").select("first", "node")
+    star = materialize(two.union(spokes).select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "star")
     nodes = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
     wanted = materialize(reps.join(nodes, "node"), "wanted")
-    words = wanted.select(_slot("rep").alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v")).toArrow()
-    sieve = np.zeros(SIEVE, np.int64)
-    sieve[np.asarray(words.column("w"))] = np.asarray(words.column("v"))
-    sieve_b = spark.sparkContext.broadcast(sieve)
-    loaded = docs.where("doc_id IS NOT NULL").withColumn("h", _slot("doc_id")).mapInArrow(lambda b: _candidates(b, sieve_b), "doc_id long, fp binary, node long, n long, bits binary, ztext binary")
-    cand = materialize(
-        loaded.join(wanted.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("ztext").alias("ztext")),
-        "candidates", "none",
-    )
-    about = cand.select("node", "n", "bits")
+    about = materialize(_load(docs, wanted, False), "candidates")
     rename = lambda x: about.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     near = star.join(rename("a"), "a").join(rename("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_sift, "a long, b long")
-    links, labels = _rounds(materialize(near, "near"), cand, None, None)
+    labels = _rounds(materialize(near, "near"), docs, wanted, None)
 
     # what the stars leave: larger groups whose nodes are not all connected
-    many = groups.where("m > 2").select("gid", "node", "m")
     named = many.join(labels, "node", "left") if labels is not None else many.withColumn("comp", F.lit(None).cast("long"))
     named = named.select("gid", "node", "m", F.coalesce("comp", "node").alias("comp"))
     apart = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
@@ -444,10 +528,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = rest.withColumn("t", F.pmod(F.xxhash64("node"), tiles)).withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     rest = rest.select(
         "gid", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), "node", "comp", "n", "bits",
-        F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1).alias("side"),
+        F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1).cast("long").alias("side"),
     )
-    more = rest.groupBy("gid", "x", "y").applyInArrow(_tile, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    links, labels = _rounds(materialize(more, "more"), cand, links, labels)
+    more = rest.repartition("gid", "x", "y").sortWithinPartitions("gid", "x", "y").mapInArrow(_tiles, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    labels = _rounds(materialize(more, "more"), docs, wanted, labels)
 
     if labels is None:
         named = reps.select("node", "fp", "rep").withColumn("component_id", F.col("rep"))
