@@ -1,6 +1,7 @@
 """Quality rules, chat, secrets, BPE, language ID: against plain Python, and their edge cases."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -173,6 +174,24 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chars", ["a-z", "A-Z", "A-Za-z", "A-Z2-7", "a-z0-9", "A-Z0-9", "A-Za-z0-9", "A-Za-z0-9+/"])
+def test_random_strings_of_every_alphabet(chars):
+    encoding = secrets._encoding(*secrets.vocabulary())
+    alphabet = re.findall(f"[{chars}]", "".join(map(chr, range(128))))
+    r = random.Random(chars)
+    for n in (20, 32, 40):
+        keys = ["".join(r.choices(alphabet, k=n)) for _ in range(500)]
+        assert sum(secrets.spans(f"key {k} end", encoding)[-1:] == [(4, 3, 4 + n)] for k in keys) >= 0.97 * len(keys), n
+
+
+def test_plain_runs_are_not_random():
+    encoding = secrets._encoding(*secrets.vocabulary())
+    plain = ["PIPELINE_SPEC_FILE_DOES_NOT_EXIST", "take_2d_axis1_int64_int64", "getHttpResponseCodeOrDefault", "Geschwindigkeitsbegrenzung", "internacionalizaciones"]
+    for s in [*plain, "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "4028-0052-5251-7056-1", "-" * 40, "X" * 64, "XXXX-XXXX-XXXX-XXXX-XXXX", "2024-01-15T10-22-33-000Z", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]:
+        assert secrets.spans(s, encoding) == [], s
+    assert not secrets.is_identifier("a" * 5000 + "_1" * 20 + "?", encoding)  # a pattern with nested repeats takes forever here
+
+
 ALPHABETS = [st.characters(codec="utf-8"), st.sampled_from("abcdefgh the"), st.sampled_from(" \t\n\r \u0085\x1c'sdtre"), st.sampled_from("éüñ日本한😀‍♥")]
 
 

@@ -3,10 +3,12 @@ r"""Secret scans: fixed patterns, and random strings found by their token effici
 Base kinds, leftmost and non-overlapping per kind: ``assign`` (a key word, a separator and a value of
 12 or more characters), ``access`` (AKIA and 18 or more characters in all), ``hex`` (16 or more of
 [0-9a-f]). The method adds ``random``: a run of 20 or more characters of [A-Za-z0-9+/_=-] that holds
-letters and digits, is no known digest (hex of a digest's length), UUID, or plain identifier (words
-joined by _ or -, camel case, a number), and of which a token of the vocabulary covers fewer than
-MAX_RATIO characters on average: text a vocabulary has seen merges into long tokens, random strings
-do not.
+a letter, of which a token of the vocabulary covers fewer than MAX_RATIO characters on average, and
+that is no known digest (hex of a digest's length), UUID, number or plain identifier: text a
+vocabulary has seen merges into long tokens, random strings do not. In an identifier, parts joined by
+_ / + = or - are words or camel case with up to 4 digits before and after; its words, without
+separators and digits and in small letters where they are all capitals, reach MAX_RATIO together, and
+each of LONG_WORD or more letters by itself.
 
 Defined results: a null text is scanned as empty; one output row per input row, repeated rows
 included; offsets are code points, ends exclusive; extra columns pass through ``scan`` and
@@ -38,7 +40,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+)(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}(?![0-9])))*[_/=+-]*\Z")
+NUMBER = re.compile(r"[0-9/=_+-]+(?:[Te][0-9/=_+-]+)?Z?\Z")
+SEPARATORS = re.compile(r"[_/=+-]+")
+PART = re.compile(r"[0-9]{0,4}([A-Za-z]+)[0-9]{0,4}\Z")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+LONG_WORD = 8
+FILLER = 3
 MAX_RATIO = 2.1
 
 
@@ -58,10 +65,27 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def is_identifier(s: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
+    letters = tokens = 0
+    for part in SEPARATORS.split(s):
+        if not part or part.isdigit():
+            continue
+        m = PART.match(part)
+        if not m:
+            return False
+        for word in WORD.findall(m[1]):
+            n = len(encoding.encode_ordinary(word.lower() if word.isupper() else word))
+            if len(word) >= LONG_WORD and len(word) < max_ratio * n:
+                return False
+            letters += len(word)
+            tokens += n
+    return letters >= max_ratio * tokens
+
+
 def is_random(s: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
-    if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or DIGEST.match(s) or UUID.match(s) or IDENTIFIER.match(s):
+    if not re.search("[A-Za-z]", s) or DIGEST.match(s) or UUID.match(s) or NUMBER.match(s) or len(set(s)) <= FILLER:
         return False
-    return len(s) < max_ratio * len(encoding.encode_ordinary(s))
+    return len(s) < max_ratio * len(encoding.encode_ordinary(s)) and not is_identifier(s, encoding, max_ratio)
 
 
 def spans(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
