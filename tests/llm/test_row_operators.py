@@ -184,6 +184,16 @@ def test_random_strings_of_every_alphabet(chars):
         assert sum(secrets.spans(f"key {k} end", encoding)[-1:] == [(4, 3, 4 + n)] for k in keys) >= 0.97 * len(keys), n
 
 
+def test_short_random_keys_of_letters_and_digits():
+    encoding = secrets._encoding(*secrets.vocabulary())
+    r = random.Random(4)
+    for n in range(12, 20):
+        keys = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n - 2)) + "q7" for _ in range(200)]
+        assert sum(secrets.spans(f"key {k} end", encoding) == [(4, 3, 4 + n)] for k in keys) >= 0.97 * len(keys), n
+    for s in ("deneinkeitaukeit", "2024-01-15T10", "57682881e+00", "section_12_page_4", "version2024final", "key Zx9Qv7LkP2m end"):
+        assert secrets.spans(s, encoding) == [], s
+
+
 def test_plain_runs_are_not_random():
     encoding = secrets._encoding(*secrets.vocabulary())
     plain = ["PIPELINE_SPEC_FILE_DOES_NOT_EXIST", "take_2d_axis1_int64_int64", "getHttpResponseCodeOrDefault", "Geschwindigkeitsbegrenzung", "internacionalizaciones"]

@@ -2,8 +2,8 @@ r"""Secret scans: fixed patterns, and random strings found by their token effici
 
 Base kinds, leftmost and non-overlapping per kind: ``assign`` (a key word, a separator and a value of
 12 or more characters), ``access`` (AKIA and 18 or more characters in all), ``hex`` (16 or more of
-[0-9a-f]). The method adds ``random``: a run of 20 or more characters of [A-Za-z0-9+/_=-] that holds
-a letter, of which a token of the vocabulary covers fewer than MAX_RATIO characters on average, and
+[0-9a-f]). The method adds ``random``: a run of [A-Za-z0-9+/_=-] that holds a letter, of 12 or more
+characters if it holds a digit too and of 20 or more if not (shorter words of prose can be as inefficient), of which a token of the vocabulary covers fewer than MAX_RATIO characters on average, and
 that is no known digest (hex of a digest's length), UUID, number or plain identifier: text a
 vocabulary has seen merges into long tokens, random strings do not. In an identifier, parts joined by
 _ / + = or - are words or camel case with up to 4 digits before and after; its words, without
@@ -37,7 +37,8 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 # Greedy runs: a run that is too short stays too short however it is cut, so the bound can stand in the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+MIN_LETTERS = 20
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
 NUMBER = re.compile(r"[0-9/=_+-]+(?:[Te][0-9/=_+-]+)?Z?\Z")
@@ -83,6 +84,8 @@ def is_identifier(s: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
 
 
 def is_random(s: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
+    if len(s) < MIN_LETTERS and not re.search("[0-9]", s):
+        return False
     if not re.search("[A-Za-z]", s) or DIGEST.match(s) or UUID.match(s) or NUMBER.match(s) or len(set(s)) <= FILLER:
         return False
     return len(s) < max_ratio * len(encoding.encode_ordinary(s)) and not is_identifier(s, encoding, max_ratio)
