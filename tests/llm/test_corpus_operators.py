@@ -202,6 +202,15 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_takes_long_documents_at_their_rate(spark):
+    # source a: rate 0.45, and without its long document the taken words are nearer to the target
+    rows = [(0, "a", 20000)] + [(1 + i, "a", 1000) for i in range(10)] + [(100 + i, "b", 1050) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").coalesce(1).cache()
+    seeds = range(6)
+    taken = [mixing.mix(df, seed=s).where("doc_id = 0").first().copies for s in seeds]
+    assert 0 < sum(taken) < len(seeds)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

@@ -7,10 +7,10 @@ capped sources are a prefix, so one running sum over the (few) source rows finds
 
 ``mix``: every document of a source has the same expected number of copies, target / size. The
 prefix sum of expected copies runs over the source's documents ordered by size, so that the copies
-taken spread over all sizes and the taken words come near the target; one random offset per source
-shifts it; a document is taken once per integer the shifted sum crosses in it. OFFSETS offsets are drawn
-by hash from the seed, and the one whose taken words come nearest to the target is used: what each takes
-follows from the counts by size alone. This matters for small sources with a few very long documents.
+taken spread over all sizes and the taken words are within the size of the source's longest document of
+the target; one offset per source, drawn by hash from the seed, shifts it; a document is taken once per
+integer the shifted sum crosses in it. Choosing among offsets by nearness would end equal expectation: a
+very long document of a small source would be left out, or taken, whatever the seed.
 The rank behind the prefix sum is put together from counts by (source, size), counts by hash bucket
 within one size, and a row number within a bucket; no task holds a whole source, and buckets
 multiply with the count, so a hot source or a hot size is spread.
@@ -32,7 +32,6 @@ from ._common import n_words, table
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 SEED = 20240607
-OFFSETS = 32
 #: Documents of one source and size to a bucket, on average; a bound on a window's rows, not on the data.
 BUCKET_ROWS = 4096
 
@@ -63,19 +62,9 @@ def _rate(source_size: str, target: str) -> Column:
     return F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
 
 
-def _offsets(n: DataFrame, seed: int) -> DataFrame:
-    """(source, __m_offset): of the seed's offsets the one that takes most nearly the target."""
+def _offset(source: str, seed: int) -> Column:
     # 20 bits: the sum of a rank's copies and an offset stays exact where copies are whole
-    drawn = F.transform(
-        F.sequence(F.lit(0), F.lit(OFFSETS - 1)),
-        lambda k: F.pmod(F.xxhash64(F.coalesce(F.col("__m_source"), F.lit("")), F.col("__m_source").isNull(), k, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20)),
-    )
-    x = n.select("*", F.posexplode(drawn).alias("k", "u"))
-    upto = lambda c: F.floor(c * F.col("__m_rate") + F.col("u"))
-    copies = upto(F.col("__m_before") + F.col("__m_n")) - upto(F.col("__m_before"))
-    by = x.groupBy("__m_source", "target", "k", "u").agg(F.sum(copies * F.col("__m_size")).alias("taken"))
-    nearest = F.min(F.struct(F.abs(F.col("taken") - F.col("target")).alias("off"), "k", "u"))
-    return by.groupBy(F.col("__m_source").alias("source")).agg(nearest["u"].alias("__m_offset"))
+    return F.pmod(F.xxhash64(F.coalesce(F.col(source), F.lit("")), F.col(source).isNull(), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
 
 def mix(docs: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -87,10 +76,9 @@ def mix(docs: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, weigh
     # before: documents of the source with a smaller size; a window over distinct sizes, not documents
     n = n.withColumn("__m_before", F.coalesce(F.sum("__m_n").over(W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     n = n.alias("n").join(goal.alias("g"), F.col("n.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("n.source").alias("__m_source"), F.col("n.size").alias("__m_size"), "__m_n", "__m_before", "source_size", "target", _rate("source_size", "target").alias("__m_rate")
-    )
-    offsets = _offsets(n, seed).alias("o")
-    n = n.alias("n").join(offsets, F.col("n.__m_source").eqNullSafe(F.col("o.source"))).select("n.*", "o.__m_offset")
+        F.col("n.source").alias("__m_source"), F.col("n.size").alias("__m_size"), "__m_n", "__m_before", "source_size", "target",
+        _rate("source_size", "target").alias("__m_rate"), _offset("n.source", seed).alias("__m_offset"),
+    )
     hashed = F.xxhash64(F.col("d.doc_id"), F.lit(seed))
     d = docs.alias("d").join(n.alias("n"), F.col("d.source").eqNullSafe(F.col("n.__m_source")) & (F.col("d.size") == F.col("n.__m_size")))
     d = d.select(
