@@ -29,3 +29,13 @@ def test_any_word_is_safe(f):
 def test_analyzer_stems_by_language():
     assert [t for t, *_ in Analyzer(stemming=True, language="german").analyze(["Die Häuser"])] == ["die", "haus"]
     assert [t for t, *_ in Analyzer(stemming=True, language="french").analyze(["Manger les chevaux"])] == ["mang", "le", "cheval"]
+
+
+@pytest.mark.parametrize("language", ["english", "german", "french", "spanish"])
+def test_stem_queries_read_all_documents(spark, tmp_path, language):
+    from textloom.plans.queries import QUERIES
+
+    rows = [(i, "aaa bbb", lang) for i, lang in enumerate(["en", "de", "fr", "es", None])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES[f"stem_{language}"](spark, str(tmp_path)).collect()
+    assert {r.lang for r in out} == {"en", "de", "fr", "es", None} and sum(r.n for r in out) == 10

@@ -15,7 +15,6 @@ from ..sources import tables
 
 #: Query texts of the scoring queries: fixed values.
 SEARCHES = ("the and of", "in the ation of the", "der die das und", "de la les", "que el la de")
-_CODES = {"english": "en", "german": "de", "french": "fr", "spanish": "es"}
 WHITESPACE = Analyzer(tokenizer="whitespace")
 
 
@@ -92,12 +91,12 @@ def analyze_full(spark, sf_dir):
 
 
 def _stems(language: str):
-    """Counts of stems of a language's documents."""
+    """Counts of a language's stems in all documents, by the documents' lang."""
 
     def query(spark, sf_dir):
-        d = _spread(spark, sf_dir, "documents").where(F.col("lang") == _CODES[language])
+        d = _spread(spark, sf_dir, "documents")
         terms = Analyzer(stemming=True, language=language).terms(F.col("text"))
-        return exploded(d.select(terms.alias("w")), "w", "stem").groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+        return exploded(d.select("lang", terms.alias("w")), "w", "stem").groupBy("lang", "stem").agg(F.count(F.lit(1)).alias("n"))
 
     return query
 
