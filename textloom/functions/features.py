@@ -9,8 +9,9 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,12 +84,21 @@ def _near(distance: int) -> float:
 SIMILARITY = ("similarity", "proximity", "order", "query_coverage", "field_coverage")
 
 
-def similarity(query: Field, document: Field) -> tuple[float, ...]:
-    """SIMILARITY: each query occurrence, in order of document position, takes its term's first
-    position after the last one taken."""
+def _where(document: Field) -> dict[str, list[int]]:
     where: dict[str, list[int]] = defaultdict(list)
     for term, p in document:
         where[term].append(p)
+    return where
+
+
+def similarity(query: Field, document: Field) -> tuple[float, ...]:
+    """SIMILARITY of a query and a document."""
+    return similarity_at(query, _where(document), len(document))
+
+
+def similarity_at(query: Field, where: Mapping[str, list[int]], n: int) -> tuple[float, ...]:
+    """SIMILARITY with a document of n tokens, of which ``where`` has the positions of the query's terms: each query
+    occurrence, in order of document position, takes its term's first position after the last one taken."""
     waiting = [(where[t], i) for t, i in query if t in where]
     if not waiting:
         return (0.0,) * 5
@@ -105,7 +115,6 @@ def similarity(query: Field, document: Field) -> tuple[float, ...]:
         in_order += i > last_i
         last, last_i, taken = p, i, taken + 1
         waiting = [w for w in waiting if w[1] != i]
-    n = len(document)
     found = min(taken, n)
     proximity, order = (_near(n), float(found)) if taken < 2 else (near / (taken - 1), in_order / (taken - 1))
     qc, fc = taken / len(query), found / n
@@ -239,14 +248,17 @@ def segmentation(query: list[str], where: dict[str, list[int]], n: int) -> Segme
 
 def field_match(query: Field, document: Field, stats: Callable[[str], tuple[int, int, int]] = lambda _: (0, 0, 100)) -> tuple[float, ...]:
     """FIELD_MATCH. stats: term -> (document frequency, document count, weight)."""
-    q = [t for t, _ in sorted(query, key=lambda x: x[1])]
-    d = [t for t, _ in sorted(document, key=lambda x: x[1])]
-    if not q or not d:
-        return (0.0,) * len(FIELD_MATCH)
-    n = len(d)
     where: dict[str, list[int]] = defaultdict(list)
-    for j, t in enumerate(d):
+    for j, (t, _) in enumerate(sorted(document, key=lambda x: x[1])):
         where[t].append(j)
+    return field_match_at(query, where, len(document), stats)
+
+
+def field_match_at(query: Field, where: Mapping[str, list[int]], n: int, stats: Callable[[str], tuple[int, int, int]] = lambda _: (0, 0, 100)) -> tuple[float, ...]:
+    """FIELD_MATCH with a document of n tokens, of which ``where`` has the places of the query's terms in order."""
+    q = [t for t, _ in sorted(query, key=lambda x: x[1])]
+    if not q or not n:
+        return (0.0,) * len(FIELD_MATCH)
     known = {t: stats(t) for t in dict.fromkeys(q)}
     weights = [known[t][2] for t in q]
     rarity = [significance(*known[t][:2]) for t in q]
@@ -317,6 +329,51 @@ def field_match(query: Field, document: Field, stats: Callable[[str], tuple[int,
     )
 
 
+# -- a document against a fixed set of searches: one call per document, and only matching tokens cross to Python ------
+
+
+def hits(terms: Column, vocabulary: Sequence[str]) -> Column:
+    """struct<n, found array<struct<at, term>>>: size of an array of terms, and of those in ``vocabulary`` place and number."""
+    number = F.create_map(*[F.lit(x) for i, t in enumerate(vocabulary) for x in (t, i)]) if vocabulary else F.expr("map('', 0)")
+    found = F.filter(F.transform(terms, lambda t, i: F.when(t.isin(list(vocabulary)), F.struct(i.cast("int").alias("at"), F.element_at(number, t).alias("term")))), lambda x: x.isNotNull())
+    return F.struct(F.size(terms).alias("n"), found.alias("found"))
+
+
+def _against(searches: Sequence[Sequence[str]], names: tuple[str, ...], score) -> Callable[[Column], Column]:
+    vocabulary = sorted({t for q in searches for t in q})
+    queries = [[(t, i) for i, t in enumerate(q)] for q in searches]
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("query_id", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])))
+    def run(found: pa.Array) -> pa.Array:
+        # flatten() and value_lengths() skip what a null or a slice hides
+        n, lists = found.field("n").to_pylist(), found.field("found")
+        lengths, inner = lists.value_lengths().fill_null(0).to_pylist(), lists.flatten()
+        at, number = inner.field("at").to_pylist(), inner.field("term").to_pylist()
+        rows, first = [], 0
+        for size, k in zip(n, lengths, strict=True):
+            where: dict[str, list[int]] = defaultdict(list)
+            for p, t in zip(at[first : first + k], number[first : first + k], strict=True):
+                where[vocabulary[t]].append(p)
+            first += k
+            rows += [score(q, where, max(0, size or 0)) for q in queries]
+        ids = pa.array(np.tile(np.arange(len(queries), dtype=np.int32), len(n)))
+        columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.float64())] * len(names)
+        offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(queries))
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([ids, *columns], ["query_id", *names]))
+
+    return lambda terms: run(hits(terms, vocabulary))
+
+
+def similarities(terms: Column, searches: Sequence[Sequence[str]]) -> Column:
+    """array<struct<query_id, SIMILARITY...>> of an array of terms against each of a fixed set of searches."""
+    return _against(searches, SIMILARITY, similarity_at)(terms)
+
+
+def field_matches(terms: Column, searches: Sequence[Sequence[str]], stats: Callable[[str], tuple[int, int, int]] = lambda _: (0, 0, 100)) -> Column:
+    """array<struct<query_id, FIELD_MATCH...>> of an array of terms against each of a fixed set of searches."""
+    return _against(searches, FIELD_MATCH, lambda q, where, n: field_match_at(q, where, n, stats))(terms)
+
+
 # -- Arrow-batched UDFs over token structs (text, position, ...) ------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,8 +16,18 @@ from pyspark.sql import types as T
 
 from .unicode import class_map, pictographs
 
-#: ASCII words: letters join over one : . ' and digits over one , ; . '
-_ASCII_WORD = re.compile(r"(?:[A-Za-z0-9_]*(?:[A-Za-z](?:[:.'][A-Za-z])+|[0-9](?:[,;.'][0-9])+))*[A-Za-z0-9_]*")
+#: Latin texts are those of these code points only (no combining or formatting character, nothing that lower case moves
+#: out of them). Their classes are few, so that one pattern finds words in the text itself, in Python and in the JVM.
+LATIN = r"\u0000-¬®-įı-ȹȻ-Ƚȿ-ʯ‐-‧"
+_LETTER = r"A-Za-zªµ¸ºÀ-ÖØ-öø-ʯ"
+_JOIN = rf"(?:(?<=[{_LETTER}])[:.'·‘’․‧](?=[{_LETTER}])|(?<=[0-9])[,;.'‘’․](?=[0-9]))"
+_RUN = rf"[{_LETTER}0-9_]*+(?:{_JOIN}[{_LETTER}0-9_]++)*+"
+#: Word-like segments: runs with a letter or digit, and the pictographs and numbers among the rest.
+LATIN_WORD = rf"(?<!_)_*+[{_LETTER}0-9]{_RUN}|[©®²³¹¼-¾]"
+#: All segments.
+LATIN_SEGMENT = rf"\r\n|[{_LETTER}0-9_]{_RUN}| ++|[\s\S]"
+_LATIN_WORD, LATIN_SPLIT = re.compile(LATIN_WORD), re.compile(f"({LATIN_WORD})")
+_NOT_LATIN = re.compile(f"[^{LATIN}]")
 #: A segment is word-like with a character of these; Katakana's and others' class says so by script.
 _WORD_LIKE = regex.compile(r"[\p{WB=ALetter}\p{WB=Hebrew_Letter}\p{WB=Numeric}\p{Extended_Pictographic}\p{Ideographic}\p{No}[^\p{Script=Common}\p{Script=Inherited}\p{Script=Unknown}]]", regex.V1)
 
@@ -80,12 +91,15 @@ def is_word_like(segment: str) -> bool:
     return _WORD_LIKE.search(segment) is not None
 
 
+def is_latin_text(text: str) -> bool:
+    return text.isascii() or _NOT_LATIN.search(text) is None
+
+
 def words(text: str) -> Iterator[tuple[int, int]]:
     """Character spans of word-like segments."""
-    if text.isascii():
-        for m in _ASCII_WORD.finditer(text):
-            if m.end() > m.start() and any(c != "_" for c in m[0]):
-                yield m.span()
+    if is_latin_text(text):
+        for m in _LATIN_WORD.finditer(text):
+            yield m.span()
         return
     cuts = word_boundaries(text)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -93,6 +107,14 @@ def words(text: str) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
+def byte_offsets(text: str) -> np.ndarray:
+    """UTF-8 offset of each character of a text, and its end."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), out=out[1:])
+    return out
+
+
 @lru_cache(maxsize=1)
 def _sentence_classes() -> dict[int, str]:
     return class_map("SB", _SB)
@@ -144,15 +166,16 @@ def to_bytes(text: str, offsets: list[int]) -> list[int]:
     return out
 
 
-def _lists(rows: list, values: pa.Array, null: pa.Array) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
+def lists(counts, values: pa.Array, null: pa.Array) -> pa.Array:
+    """One Arrow list per count, of consecutive values; null where ``null`` is true."""
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=null if null.true_count else None)
 
 
 def _breaks(texts: pa.Array, boundaries) -> pa.Array:
     rows = [[] if t is None else to_bytes(t, boundaries(t)) for t in texts.to_pylist()]
-    return _lists(rows, pa.array([x for r in rows for x in r], pa.int32()), texts.is_null())
+    return lists([len(r) for r in rows], pa.array([x for r in rows for x in r], pa.int32()), texts.is_null())
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -172,14 +195,59 @@ _UPPER = re.compile("[A-Z]")
 def _word_segments(texts: pa.Array) -> pa.Array:
     rows = []
     for t in texts.to_pylist():
-        cuts = word_boundaries(t or "")
-        b = to_bytes(t or "", cuts)
-        parts = [t[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)] if cuts else []
+        parts = segments(t or "")
+        b = to_bytes(t or "", [0, *itertools.accumulate(map(len, parts))])
         rows.append([(b[i], b[i + 1], is_word_like(s), s.isascii(), _UPPER.search(s) is not None) for i, s in enumerate(parts)])
     columns = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * 5
     kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())
     fields = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-    return _lists(rows, pa.StructArray.from_arrays(fields, _SEGMENT.names), texts.is_null())
+    return lists([len(r) for r in rows], pa.StructArray.from_arrays(fields, _SEGMENT.names), texts.is_null())
+
+
+COUNTS = ("n_segments", "n_word_like", "n_non_ascii", "n_upper")
+
+
+_LATIN_SEGMENT, _LATIN_LIKE = re.compile(LATIN_SEGMENT), re.compile(f"[{_LETTER}0-9©®²³¹¼-¾]")
+
+
+def segments(text: str) -> list[str]:
+    """What stands between word boundaries."""
+    if is_latin_text(text):
+        return _LATIN_SEGMENT.findall(text)
+    cuts = word_boundaries(text)
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _counts(text: str) -> tuple[int, int, int, int]:
+    parts = segments(text)
+    like = _LATIN_LIKE.search if is_latin_text(text) else is_word_like
+    wide = 0 if text.isascii() else sum(not s.isascii() for s in parts)
+    return len(parts), sum(1 for s in parts if like(s)), wide, sum(1 for s in parts if not s.islower() and _UPPER.search(s))
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in COUNTS]))
+def _word_counts(texts: pa.Array) -> pa.Array:
+    columns = list(zip(*(_counts(t or "") for t in texts.to_pylist()), strict=True)) or [()] * 4
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTS, mask=texts.is_null() if texts.null_count else None)
+
+
+def is_latin(text: Column) -> Column:
+    """Is the text one that LATIN_WORD applies to? (Java is slow to look for a character outside of many ranges.)"""
+    return (F.octet_length(text) == F.char_length(text)) | text.rlike(rf"\A[{LATIN}]*+\z")
+
+
+def latin_words(text: Column) -> Column:
+    """array<string> of the word-like segments of a Latin text, in the JVM."""
+    return F.regexp_extract_all(text, F.lit(LATIN_WORD), F.lit(0))
+
+
+def word_counts(text: Column) -> Column:
+    """struct of COUNTS: segments, word-like ones, ones with a non-ASCII character, ones with an ASCII capital (null: null).
+
+    Counted where they are found, so that four numbers a text leave the worker. (Three filters over an array of segments
+    in the JVM take twice as long.)
+    """
+    return _word_counts(text)
 
 
 def word_breaks(text: Column) -> Column:

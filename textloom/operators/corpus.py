@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .analyzer import exploded
 
-def term_stats(docs: DataFrame, terms: str, doc_id: str = "doc_id") -> DataFrame:
-    """(term, document_frequency, term_frequency) of an array column of terms.
 
-    A row's terms are counted within the row first, so one shuffle, of partial sums by term, is enough;
-    doc_id is taken to name a document once.
+def term_stats(docs: DataFrame, terms: str) -> DataFrame:
+    """(term, document_frequency, term_frequency) of an array column of terms, a row being a document.
+
+    A row's terms are sorted within the row, so that the first of each can be told from its repeats and one shuffle,
+    of partial sums by term, gives both counts.
     """
-    counted = docs.select(doc_id, F.explode(terms).alias("term")).groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("term").agg(F.count(F.lit(1)).alias("document_frequency"), F.sum("n").alias("term_frequency"))
+    by_term = docs.select(F.sort_array(terms).alias("w"))
+    first = by_term.select(F.transform("w", lambda t, i: F.struct(t.alias("term"), F.when(F.get("w", i - 1) == t, 0).otherwise(1).alias("first"))).alias("w"))
+    return exploded(first, "w", "t").groupBy("t.term").agg(F.sum("t.first").alias("document_frequency"), F.count(F.lit(1)).alias("term_frequency"))
 
 
 def with_document_count(stats: DataFrame, docs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from .stemming import CACHE, longest
+
 _V = "aeiouy"
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 _LI = "cdeghkmnrt"
@@ -20,11 +22,8 @@ _STEP2 = {
     "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
 }
 _STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
-
-
-def _longest(w: str, suffixes) -> str | None:
-    return max((s for s in suffixes if w.endswith(s)), key=len, default=None)
+_STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion"
+_ENDS2, _ENDS3 = " ".join(_STEP2), " ".join(_STEP3)
 
 
 _REGION = re.compile(r"[aeiouy][^aeiouy]")
@@ -49,7 +48,7 @@ def _has_vowel(w: str) -> bool:
     return any(c in _V for c in w)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHE)
 def stem(word: str) -> str:
     """Stem of a lower-case word."""
     if len(word) < 3:
@@ -62,8 +61,8 @@ def stem(word: str) -> str:
     if len(w) < 3:
         return w
     # a y that is a consonant is written Y
-    w = re.sub(r"^y", "Y", w)
-    w = re.sub(r"(?<=[aeiouy])y", "Y", w)
+    if "y" in w:
+        w = re.sub(r"^y|(?<=[aeiouy])y", "Y", w)
     r1, r2 = _regions(w)
     in_r1, in_r2 = lambda s: len(w) - len(s) >= r1, lambda s: len(w) - len(s) >= r2
     for s in ("'s'", "'s", "'"):
@@ -82,7 +81,7 @@ def stem(word: str) -> str:
     if w in _AFTER_1A:
         return w
     # 1b
-    s = _longest(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    s = longest(w, "eed eedly ed edly ing ingly")
     if s in ("eed", "eedly"):
         if in_r1(s):
             w = w[: -len(s)] + "ee"
@@ -98,15 +97,15 @@ def stem(word: str) -> str:
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in _V:
         w = w[:-1] + "i"
     # 2
-    s = _longest(w, _STEP2)
+    s = longest(w, _ENDS2)
     if s and in_r1(s) and not (s == "ogi" and not w.endswith("logi")) and not (s == "li" and w[-3:-2] not in tuple(_LI)):
         w = w[: -len(s)] + _STEP2[s]
     # 3
-    s = _longest(w, _STEP3)
+    s = longest(w, _ENDS3)
     if s and in_r1(s) and not (s == "ative" and not in_r2(s)):
         w = w[: -len(s)] + _STEP3[s]
     # 4
-    s = _longest(w, _STEP4)
+    s = longest(w, _STEP4)
     if s and in_r2(s) and not (s == "ion" and w[-4:-3] not in ("s", "t")):
         w = w[: -len(s)]
     # 5

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import features, segment
-from ..functions.stopwords import stop_words
+from ..functions.stopwords import LANGUAGES, stop_words
 from ..functions.unicode import fold_map
 from ..operators import corpus
-from ..operators.analyzer import Analyzer, ascii_fold, exploded
+from ..operators.analyzer import Analyzer, ascii_fold, exploded, posexploded
 from ..sources import tables
 
 #: Query texts of the scoring queries: fixed values.
@@ -18,27 +21,25 @@ SEARCHES = ("the and of", "in the ation of the", "der die das und", "de la les",
 WHITESPACE = Analyzer(tokenizer="whitespace")
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return _spread(spark, sf_dir, name).select(*columns)
-
+def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
+    return tables.read(spark, sf_dir, name).select(*columns)
 
-def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tables.spread(tables.read(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
 
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents", "doc_id", WHITESPACE.terms(F.col("text")).alias("d"))
 
-def _searches() -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("query_id"), F.array(*map(F.lit, q.split())).alias("q")) for i, q in enumerate(SEARCHES)]))
 
-
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, d, query_id, q): every document with every search, terms by white space."""
-    d = _read(spark, sf_dir, "documents", "doc_id", WHITESPACE.terms(F.col("text")).alias("d"))
-    return d.select("doc_id", "d", _searches().alias("s")).select("doc_id", "d", "s.query_id", "s.q")
+def _scored(spark: SparkSession, sf_dir: str, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """(query_id, doc_id, s): the score of every document for every search. A document's terms are made once: the searches
+    are a constant array, whose scores are exploded."""
+    searches = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, q.split())).alias("q")) for i, q in enumerate(SEARCHES)])
+    scores = F.transform(searches, lambda s: F.struct(s["id"].alias("query_id"), score(s["q"], F.col("d")).alias("s")))
+    return exploded(_words(spark, sf_dir).select("doc_id", scores.alias("all")), "all", "x").select("x.query_id", "doc_id", "x.s")
 
 
 def whitespace_tokens(spark, sf_dir):
     d = _read(spark, sf_dir, "documents", "doc_id", Analyzer(tokenizer="whitespace", case_sensitive=True).terms(F.col("text")).alias("w"))
-    return d.select("doc_id", F.posexplode("w").alias("position", "token"))
+    return posexploded(d, "w", "token")
 
 
 def token_length_filter(spark, sf_dir):
@@ -48,7 +49,7 @@ def token_length_filter(spark, sf_dir):
 
 def lowercase_tokens(spark, sf_dir):
     d = _read(spark, sf_dir, "documents", "doc_id", WHITESPACE.terms(F.col("text")).alias("w"))
-    return d.select(F.explode("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return exploded(d, "w", "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _stopwords(language: str):
@@ -66,17 +67,13 @@ def ascii_fold_text(spark, sf_dir):
 
 
 def uax29_words_latin(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents", "doc_id", Analyzer(case_sensitive=True).tokens(F.col("text")).alias("w"))
-    return exploded(d, "w", "t").select("doc_id", F.col("t.position").cast("long").alias("position"), "t.text")
+    d = _read(spark, sf_dir, "documents", "doc_id", Analyzer(case_sensitive=True).terms(F.col("text")).alias("w"))
+    return posexploded(d, "w", "text").withColumn("position", F.col("position").cast("long"))
 
 
 def word_break_counts(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents", "doc_id", segment.word_segments(F.col("text")).alias("s"))
-    count = lambda c: F.size(F.filter("s", c)).cast("long")
-    return d.select(
-        "doc_id", F.size("s").cast("long").alias("n_segments"), count(lambda x: x["word_like"]).alias("n_word_like"),
-        count(lambda x: ~x["is_ascii"]).alias("n_non_ascii"), count(lambda x: x["has_ascii_upper"]).alias("n_upper"),
-    )
+    d = _read(spark, sf_dir, "documents", "doc_id", segment.word_counts(F.col("text")).alias("s"))
+    return d.select("doc_id", *[F.coalesce(f"s.{n}", F.lit(0)).alias(n) for n in segment.COUNTS])
 
 
 def sentence_counts(spark, sf_dir):
@@ -94,7 +91,7 @@ def _stems(language: str):
     """Counts of a language's stems in all documents, by the documents' lang."""
 
     def query(spark, sf_dir):
-        d = _spread(spark, sf_dir, "documents")
+        d = tables.read(spark, sf_dir, "documents")
         terms = Analyzer(stemming=True, language=language).terms(F.col("text"))
         return exploded(d.select("lang", terms.alias("w")), "w", "stem").groupBy("lang", "stem").agg(F.count(F.lit(1)).alias("n"))
 
@@ -102,8 +99,7 @@ def _stems(language: str):
 
 
 def term_stats(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents", "doc_id", WHITESPACE.terms(F.col("text")).alias("w"))
-    return corpus.term_stats(d, "w")
+    return corpus.term_stats(_words(spark, sf_dir), "d")
 
 
 def significance(spark, sf_dir):
@@ -112,12 +108,12 @@ def significance(spark, sf_dir):
 
 
 def completeness(spark, sf_dir):
-    c = _scored(spark, sf_dir).select("query_id", "doc_id", features.element_completeness(F.col("q"), F.col("d")).alias("c"))
-    return c.select("query_id", "doc_id", *[F.round(f"c.{n}", 9).alias(n) for n in ("completeness", "field_completeness", "query_completeness")])
+    c = _scored(spark, sf_dir, features.element_completeness)
+    return c.select("query_id", "doc_id", *[F.round(f"s.{n}", 9).alias(n) for n in ("completeness", "field_completeness", "query_completeness")])
 
 
 def matches(spark, sf_dir):
-    return _scored(spark, sf_dir).select("query_id", "doc_id", features.matches(F.col("q"), F.col("d")).alias("matches"))
+    return _scored(spark, sf_dir, features.matches).withColumnRenamed("s", "matches")
 
 
 def query_term_count(spark, sf_dir):
@@ -125,26 +121,27 @@ def query_term_count(spark, sf_dir):
     return d.select("item_id", features.query_term_count(F.col("w")).alias("query_term_count"))
 
 
-def _with_positions(terms: str) -> Column:
+def _with_positions(terms: Column) -> Column:
     return F.transform(terms, lambda t, i: F.struct(t.alias("text"), i.alias("position")))
 
 
 def term_match(spark, sf_dir):
-    x = _scored(spark, sf_dir).select("query_id", "doc_id", _with_positions("q").alias("q"), _with_positions("d").alias("d"))
-    m = features.field_term_match(F.col("q"), F.col("d"), 1)
-    return x.select("query_id", "doc_id", m["first_position"].alias("first_position"), m["occurrences"].alias("occurrences"))
+    x = _scored(spark, sf_dir, lambda q, d: features.field_term_match(_with_positions(q), _with_positions(d), 1))
+    return x.select("query_id", "doc_id", "s.first_position", "s.occurrences")
+
+
+def _against(spark: SparkSession, sf_dir: str, score: Callable[..., Column], names: tuple[str, ...]) -> DataFrame:
+    scores = score(F.col("d"), [q.split() for q in SEARCHES])
+    x = exploded(_words(spark, sf_dir).select("doc_id", scores.alias("all")), "all", "x")
+    return x.select("x.query_id", "doc_id", *[F.round(f"x.{n}", 9).alias(n) for n in names])
 
 
 def similarity(spark, sf_dir):
-    x = _scored(spark, sf_dir).select("query_id", "doc_id", _with_positions("q").alias("q"), _with_positions("d").alias("d"))
-    s = x.select("query_id", "doc_id", features.element_similarity(F.col("q"), F.col("d")).alias("s"))
-    return s.select("query_id", "doc_id", *[F.round(f"s.{n}", 9).alias(n) for n in features.SIMILARITY])
+    return _against(spark, sf_dir, features.similarities, features.SIMILARITY)
 
 
 def field_match(spark, sf_dir):
-    x = _scored(spark, sf_dir).select("query_id", "doc_id", _with_positions("q").alias("q"), _with_positions("d").alias("d"))
-    s = x.select("query_id", "doc_id", features.field_match_features(F.col("q"), F.col("d")).alias("s"))
-    return s.select("query_id", "doc_id", *[F.round(f"s.{n}", 9).alias(n) for n in features.FIELD_MATCH])
+    return _against(spark, sf_dir, features.field_matches, features.FIELD_MATCH)
 
 
 def rerank_topk(spark, sf_dir):
@@ -168,7 +165,7 @@ QUERIES = {
     "whitespace_tokens": whitespace_tokens,
     "token_length_filter": token_length_filter,
     "lowercase_tokens": lowercase_tokens,
-    **{f"stopwords_{x}": _stopwords(x) for x in ("english", "german", "dutch", "danish", "italian", "norwegian", "portuguese")},
+    **{f"stopwords_{x}": _stopwords(x) for x in LANGUAGES},
     "ascii_fold": ascii_fold_text,
     "uax29_words_latin": uax29_words_latin,
     "word_break_counts": word_break_counts,
@@ -233,12 +230,12 @@ _A, _ANE = r"[\p{L}\p{M}]", r"[\p{L}\p{M}\p{Nd}_]"
 _MA, _MN = r"[:.''\x{00B7}\x{2018}\x{2019}\x{2024}\x{2027}]", r"[,;.''\x{2018}\x{2019}\x{2024}]"
 _WORD = rf"(?:{_ANE}*(?:{_A}(?:{_MA}{_A})+|\p{{Nd}}(?:{_MN}\p{{Nd}})+))*{_ANE}*"
 
-ORACLE_SQL = {
+_SQL = {
     "whitespace_tokens": f"SELECT doc_id, (unnest(range(1, len(w) + 1)) - 1)::INT AS position, unnest(w) AS token FROM (SELECT doc_id, {_TOK} AS w FROM documents)",
     "token_length_filter": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, array_to_string(w, ' ') AS kept FROM (SELECT doc_id, list_filter({_TOK}, lambda x: length(x) <= 8) AS w FROM documents)",
     "lowercase_tokens": f"SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest({_LOW}) AS term FROM documents) GROUP BY term",
-    **{f"stopwords_{x}": _stop_sql(x) for x in ("english", "german", "dutch", "danish", "italian", "norwegian", "portuguese")},
-    "ascii_fold": _fold_sql(),
+    **{f"stopwords_{x}": partial(_stop_sql, x) for x in LANGUAGES},
+    "ascii_fold": _fold_sql,
     "uax29_words_latin": f"SELECT doc_id, (unnest(range(1, len(w) + 1)) - 1)::BIGINT AS position, unnest(w) AS text FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '{_WORD}'), lambda x: regexp_matches(x, '[^_]')) AS w FROM documents)",
     "term_stats": _TERMS,
     "significance": f"SELECT term, round(0.5 + 0.5 * ((ln(1000000.0) - ln(greatest(1.0, least(1000000.0, document_frequency * 1000000.0 / n)))) / ln(1000000.0)), 9) AS significance FROM ({_TERMS}), (SELECT count(*)::DOUBLE AS n FROM documents)",
@@ -252,3 +249,8 @@ WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER B
 b AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY conv_id ORDER BY input_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM t)
 SELECT conv_id, (base + unnest(range(1, len(w) + 1)) - 1)::BIGINT AS position, input_index::BIGINT AS input_index, unnest(w) AS text FROM b""",
 }
+
+
+def oracle_sql() -> dict[str, str]:
+    """The SQL of all queries that have one, made when it is asked for."""
+    return {name: sql() if callable(sql) else sql for name, sql in _SQL.items()}

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-SMALL = 64 << 20
+#: Session setting: partitions that a table is dealt over when it is read; unset: as its files are split. For tables of
+#: fewer row groups than cores, where the one who runs the session knows them to be so.
+PARTITIONS = "spark.textloom.read.partitions"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """df over all cores where its files are fewer than these: a file of one row group is one task.
-
-    The rows move once, and only if the whole table is smaller than SMALL a core; large tables have enough
-    files and stay as they are. One call asks the file system for the number and size of the files.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    about = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p)
-    return df.repartition(cores) if about.getFileCount() < cores and about.getLength() < SMALL * cores else df
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    partitions = spark.conf.get(PARTITIONS, None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def texts(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
@@ -32,9 +23,14 @@ def texts(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """One text per line, with the escapes \\\\ \\n \\r \\t and \\u{hex} undone."""
+    r"""One text per line, with the escapes \\ \n \r \t and \u{hex} undone."""
     t = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("text"))
-    marked = F.replace(F.col("text"), F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x00", "\\")):
-        marked = F.replace(marked, F.lit(a), F.lit(b))
-    return t.select(marked.alias("text"))
+    return t.select(unescaped(F.col("text")).alias("text"))
+
+
+def unescaped(text: Column) -> Column:
+    """A text with its escapes undone: cut into escapes and what is between, each of which has one meaning."""
+    parts = F.regexp_extract_all(text, F.lit(r"\\u\{[0-9a-fA-F]+\}|\\.|[^\\]+|\\"), F.lit(0))
+    code = lambda x: F.decode(F.unhex(F.lpad(F.regexp_extract(x, r"\{([0-9a-fA-F]+)\}", 1), 8, "0")), "UTF-32BE")
+    one = lambda x: F.when(x == "\\n", "\n").when(x == "\\r", "\r").when(x == "\\t", "\t").when(x == "\\\\", "\\").when(x.startswith("\\u{"), code(x)).otherwise(x)
+    return F.array_join(F.transform(parts, one), "")
