@@ -335,8 +335,9 @@ def field_match_at(query: Field, where: Mapping[str, list[int]], n: int, stats:
 def hits(terms: Column, vocabulary: Sequence[str]) -> Column:
     """struct<n, found array<struct<at, term>>>: size of an array of terms, and of those in ``vocabulary`` place and number."""
     number = F.create_map(*[F.lit(x) for i, t in enumerate(vocabulary) for x in (t, i)]) if vocabulary else F.expr("map('', 0)")
-    found = F.filter(F.transform(terms, lambda t, i: F.when(t.isin(list(vocabulary)), F.struct(i.cast("int").alias("at"), F.element_at(number, t).alias("term")))), lambda x: x.isNotNull())
-    return F.struct(F.size(terms).alias("n"), found.alias("found"))
+    one = lambda t, i: F.when(t.isin(list(vocabulary)), F.struct(i.cast("int").alias("at"), F.element_at(number, t).alias("term")))
+    # bound to a lambda's variable, the terms are made once
+    return F.transform(F.array(terms), lambda w: F.struct(F.size(w).alias("n"), F.filter(F.transform(w, one), lambda x: x.isNotNull()).alias("found")))[0]
 
 
 def _against(searches: Sequence[Sequence[str]], names: tuple[str, ...], score) -> Callable[[Column], Column]:

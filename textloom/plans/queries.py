@@ -33,7 +33,8 @@ def _scored(spark: SparkSession, sf_dir: str, score: Callable[[Column, Column],
     """(query_id, doc_id, s): the score of every document for every search. A document's terms are made once: the searches
     are a constant array, whose scores are exploded."""
     searches = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, q.split())).alias("q")) for i, q in enumerate(SEARCHES)])
-    scores = F.transform(searches, lambda s: F.struct(s["id"].alias("query_id"), score(s["q"], F.col("d")).alias("s")))
+    # the terms are bound to a lambda's variable: inlined, they would be made again for every search
+    scores = F.transform(F.array("d"), lambda d: F.transform(searches, lambda s: F.struct(s["id"].alias("query_id"), score(s["q"], d).alias("s"))))[0]
     return exploded(_words(spark, sf_dir).select("doc_id", scores.alias("all")), "all", "x").select("x.query_id", "doc_id", "x.s")
 
 
