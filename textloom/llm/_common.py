@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one made here where none is set (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where none is set one is made for a local master (tests);
+    on a cluster that is an error, as no folder of this machine is shared."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -34,10 +40,33 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Cut lineage through a written table in the shared folder; a lost executor loses none of it."""
+#: Tables written since each temporary() that is open began, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes inside are deleted at the end, whether it ends well or not."""
+    mine: list[str] = []
+    token = _open.set((*_open.get(), mine))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in mine:
+            remove(spark, path)
+
+
+def materialize(df: DataFrame, what: str, codec: str = "zstd", result: bool = False) -> DataFrame:
+    """Cut lineage through a written table in the shared folder; a lost executor loses none of it.
+
+    The table lasts as long as the temporary() around it, and a ``result`` as long as the one around that.
+    """
     spark = df.sparkSession
     path = scratch(spark, what)
+    around = _open.get()[:-1] if result else _open.get()
+    if around:
+        around[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,7 +77,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-
 def n_words(text: Column) -> Column:
     """Number of words (null: 0) without building them."""
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE + "+")), F.lit(0)).cast("long")

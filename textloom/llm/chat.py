@@ -193,8 +193,11 @@ def _digests(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[
 
 
 def read_chat(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """Per conversation, what its formatted text holds, parsed back from the segments of format_chat."""
-    return segments.select("conv_id", "seq", "text", "loss", "ok").mapInArrow(lambda batches: _digests(batches, template), _DIGESTS_SQL)
+    """Per conversation, what its formatted text holds, parsed back from the segments of format_chat, wherever these
+    were stored since: they are dealt and sorted by conversation (which moves nothing where they still are)."""
+    rows = segments.select("conv_id", "seq", "text", "loss", "ok")
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return dealt.mapInArrow(lambda batches: _digests(batches, template), _DIGESTS_SQL)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,14 @@ total size; a target stops at ``max_repeat`` times its source's size and the exc
 weight until none is above. The fixed point is found in closed form: ordered by cap / weight, the
 capped sources are a prefix, so one running sum over the (few) source rows finds the level.
 
-``mix``: every document of a source has the same expected number of copies, target / size. The
-prefix sum of expected copies runs over the source's documents ordered by size, so that the copies
-taken spread over all sizes and the taken words are within the size of the source's longest document of
-the target; one offset per source, drawn by hash from the seed, shifts it; a document is taken once per
-integer the shifted sum crosses in it. Choosing among offsets by nearness would end equal expectation: a
-very long document of a small source would be left out, or taken, whatever the seed.
+``mix``: the prefix sum of expected copies runs over a source's documents, the largest first; one offset per
+source, drawn by hash from the seed, shifts it; a document is taken once per integer the shifted sum crosses
+in it. Expected copies are target / size of the source for its largest documents. Documents of whom one is
+less than a part of the target (LEVELS) come after these and share what is left of it: their expected copies are
+what the larger ones left over of the target, for their size. On average over offsets that is the same rate for
+all (but where it would be below 0 or above ``max_repeat``), and the taken words miss the target by no more
+than about the last level's part of it, wherever documents that small can make up for it. Choosing among offsets
+by nearness would do that too, but leave out a very long document of a small source, or take it, whatever the seed.
 The rank behind the prefix sum is put together from counts by (source, size), counts by hash bucket
 within one size, and a row number within a bucket; no task holds a whole source, and buckets
 multiply with the count, so a hot source or a hot size is spread.
@@ -33,7 +35,9 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 SEED = 20240607
 #: Documents of one source and size to a bucket, on average; a bound on a window's rows, not on the data.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
+#: Documents larger than a 4th of the target come first, then those larger than a 16th, and so on, then all others.
+LEVELS = (4, 16, 64, 256)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -58,10 +62,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: in
     return x.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.coalesce(F.col("level"), F.lit(float("inf")))).alias("target"))
 
 
-def _rate(source_size: str, target: str) -> Column:
-    return F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
-
-
 def _offset(source: str, seed: int) -> Column:
     # 20 bits: the sum of a rank's copies and an offset stays exact where copies are whole
     return F.pmod(F.xxhash64(F.coalesce(F.col(source), F.lit("")), F.col(source).isNull(), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -73,16 +73,14 @@ def mix(docs: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, weigh
     out = [F.col(f"d.`{c}`") for c in docs.columns]
     n = docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("__m_n"))
     goal = targets(n.groupBy("source").agg(F.sum(F.col("size") * F.col("__m_n")).alias("source_size")), weights, max_repeat)
-    # before: documents of the source with a smaller size; a window over distinct sizes, not documents
-    n = n.withColumn("__m_before", F.coalesce(F.sum("__m_n").over(W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     n = n.alias("n").join(goal.alias("g"), F.col("n.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("n.source").alias("__m_source"), F.col("n.size").alias("__m_size"), "__m_n", "__m_before", "source_size", "target",
-        _rate("source_size", "target").alias("__m_rate"), _offset("n.source", seed).alias("__m_offset"),
+        F.col("n.source").alias("__m_source"), F.col("n.size").alias("__m_size"), "__m_n", "source_size", "target", _offset("n.source", seed).alias("__m_offset")
     )
+    n = _planned(n, max_repeat)
     hashed = F.xxhash64(F.col("d.doc_id"), F.lit(seed))
     d = docs.alias("d").join(n.alias("n"), F.col("d.source").eqNullSafe(F.col("n.__m_source")) & (F.col("d.size") == F.col("n.__m_size")))
     d = d.select(
-        *out, "source_size", "target", "__m_n", "__m_before", "__m_rate", "__m_offset",
+        *out, "source_size", "target", "__m_n", "__m_start", "__m_rate", "__m_offset",
         F.pmod(hashed, F.ceil(F.col("__m_n") / bucket_rows)).alias("__m_bucket"),
     )
     one = ["source", "size", "__m_bucket"]
@@ -93,9 +91,42 @@ def mix(docs: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, weigh
     r = ranked.alias("d").join(
         c, F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")) & (F.col("d.__m_bucket") == F.col("c.__m_bucket"))
     )
-    rank = F.col("d.__m_before") + F.col("c.__m_k") + F.col("d.__m_row")
-    upto = lambda k: F.floor(k * F.col("d.__m_rate") + F.col("d.__m_offset"))
-    return r.select(*out, F.col("d.source_size"), F.col("d.target"), (upto(rank) - upto(rank - 1)).cast("long").alias("copies"))
+    rank = F.col("c.__m_k") + F.col("d.__m_row")
+    crossed = _crossed("d.__m_start", rank, "d.__m_rate", "d.__m_offset") - _crossed("d.__m_start", rank - 1, "d.__m_rate", "d.__m_offset")
+    return r.select(*out, F.col("d.source_size"), F.col("d.target"), F.least(crossed, F.lit(max_repeat)).cast("long").alias("copies"))
+
+
+def _crossed(start: str, k: Column, rate: str, offset: str) -> Column:
+    """Integers up to the shifted prefix sum at the kth document of a size."""
+    return F.floor(F.col(start) + k * F.col(rate) + F.col(offset))
+
+
+def _planned(n: DataFrame, max_repeat: int) -> DataFrame:
+    """Rows of (source, size) with the prefix sum __m_start before their documents and the rate __m_rate of each.
+
+    Windows run over a source's distinct sizes, not over its documents.
+    """
+    level = F.lit(len(LEVELS))
+    for i, part in reversed(list(enumerate(LEVELS))):
+        level = F.when(F.col("__m_size") * part > F.col("target"), i).otherwise(level)
+    whole = W.partitionBy("__m_source")
+    larger = whole.orderBy(F.desc("__m_size")).rowsBetween(W.unboundedPreceding, -1)
+    words = F.col("__m_size") * F.col("__m_n")
+    n = n.withColumn("__m_level", level).withColumn("__m_before", F.coalesce(F.sum("__m_n").over(larger), F.lit(0)))
+    zero = F.lit(0.0)
+    n = n.withColumns({"__m_start": zero, "__m_rate": zero, "__m_sum": zero, "__m_taken": F.lit(0).cast("long"), "__m_done": F.lit(0).cast("long"), "__m_left": F.col("source_size")})
+    for i in range(len(LEVELS) + 1):
+        mine = F.col("__m_level") == i
+        rate = F.when(F.col("__m_left") > 0, F.greatest(zero, F.least(F.lit(float(max_repeat)), (F.col("target") - F.col("__m_taken")) / F.col("__m_left")))).otherwise(zero)
+        n = n.withColumn("__m_rate", F.when(mine, rate).otherwise(F.col("__m_rate")))
+        n = n.withColumn("__m_start", F.when(mine, F.col("__m_sum") + (F.col("__m_before") - F.col("__m_done")) * F.col("__m_rate")).otherwise(F.col("__m_start")))
+        copies = _crossed("__m_start", F.col("__m_n"), "__m_rate", "__m_offset") - _crossed("__m_start", F.lit(0), "__m_rate", "__m_offset")
+        own = lambda c, mine=mine: F.coalesce(F.sum(F.when(mine, c)).over(whole), F.lit(0))
+        n = n.withColumns({
+            "__m_sum": F.col("__m_sum") + own(F.col("__m_n") * F.col("__m_rate")), "__m_taken": F.col("__m_taken") + own(F.col("__m_size") * copies),
+            "__m_done": F.col("__m_done") + own(F.col("__m_n")), "__m_left": F.col("__m_left") - own(words),
+        })
+    return n.select("__m_source", "__m_size", "__m_n", "source_size", "target", "__m_start", "__m_rate", "__m_offset")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
