@@ -130,10 +130,13 @@ def test_jaccard_join(spark):
     assert got.pop(None) == (len(shingles(rows[0][1])), None)
     assert got == classes(rows) and len(out) == len(rows) + 1
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
+    two = [(1, "a b c d e f g"), (1, "k l m n o p q"), (2, "K l m n o p q"), (3, "a b c d e f g")]
+    out = jaccard.near_duplicates(spark.createDataFrame(two, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1)]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 45), st.integers(0, 45), st.integers(0, 10**6))
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.integers(1, 60), st.integers(1, 2000)), st.integers(0, 45), st.integers(0, 250), st.integers(0, 10**6))
 def test_linked_sets_share_a_signature_and_pass_the_filters(common, only_a, only_b, seed):
     g = np.random.default_rng(seed)
     x = np.unique(g.integers(0, 2**64, common + only_a + only_b, dtype=np.uint64))

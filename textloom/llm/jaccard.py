@@ -4,12 +4,15 @@ A document's set holds the hashes of its 5-word shingles (64 bits; all shorter t
 their words). Two sets link when 100 |A and B| >= 80 |A or B|. Then they differ in at most
 (|A| + |B|) / 9 elements. Sizes are cut into bands; the instance of a band serves pairs whose larger set
 is in it, so a set also signs in the bands above that hold possible partners. An instance with sizes up
-to r has k = floor(2 r / 9) and parts the hash domain into n > k equal ranges. Sets that differ in k
-elements agree on n - k parts or more, so a signature of each part (its number and the hash of
-the elements in it) makes them share one. Empty parts give none; n exceeds k by more than the empty
-parts that a set has, which is checked set by set, and a set that fails signs its empty parts too.
-(These are PartEnum's subsets of one part in the second level; larger subsets cost more signatures
-than they save here.)
+to r has k = floor(2 r / 9), the most elements in which its pairs differ. The hash domain is cut into first-level
+parts, each of these into second-level parts. In a band of large sets (k >= DEEP) there are n1 > k / 2 first-level
+parts, so at least n1 - floor(k / 2) of them differ in one element or none; each is cut in three, and the three
+subsets of two are enumerated: one difference spoils one part, so the two others, as a subset, are equal. A signature
+is the hash of the elements in a subset, with its band, part and number; two thirds of 2 / k of a set have to agree by
+chance to make a needless candidate. For small sets (k < DEEP) a first-level part is not cut: there are more than k of
+them, and a signature each. Subsets without an element give no signature; n1 exceeds what is needed by more than
+the parts with such a subset that a set has, which is checked set by set, and a set that fails signs its
+empty subsets too.
 
 Exact copies fold into one node (the fingerprint of its set) before anything is compared. Nodes that share
 a signature are candidates. No list of all pairs is made:
@@ -17,7 +20,7 @@ a signature are candidates. No list of all pairs is made:
 * each signature's nodes pair with its center only, the node with most shared signatures (a copied text
   rather than a copy); distinct pairs pass two exact filters (size,
   and the parity of a bitmap, whose difference bounds the sets' difference from below), then rounds
-  verify TAKE pairs of each node, TAKE times as many in each, link them, and drop what is connected by then;
+  verify some pairs of each node, SHARES times as many in each, link them, and drop what is connected by then;
 * signatures of three nodes or more whose nodes are still in different components give their other
   pairs, across components only and filtered in tiles of TILE nodes, so none is lost, and rounds go on.
 
@@ -25,8 +28,9 @@ Only ids, signatures and the compressed texts of candidates are shuffled. Compon
 label propagation with pointer jumping over written tables; nothing but counts comes to the driver.
 
 Defined results: a null text or one without words has an empty set, size 0, and links with nothing; a null
-doc_id keeps its row, with a null component, and links with nothing; repeated rows each get a row; an
-empty table gives an empty result; extra columns are ignored.
+doc_id keeps its row, with a null component, and links with nothing; repeated rows each get a row; rows with one doc_id
+and different texts are linked each by its own text; an empty table gives an empty result; extra columns are ignored.
+Nodes are told apart by 64 bits of the fingerprint of their sets.
 """
 
 from __future__ import annotations
@@ -42,19 +46,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import materialize, table, temporary
 
 N = 5
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BAND_RATIO = 1.4
-#: Parts beyond k + 1, as a share of it.
+#: First-level parts beyond those needed, as a share of them.
 SLACK = 0.15
+#: Least k of a band whose first-level parts are cut in three: below, parts hold too few elements.
+DEEP = 8
 CHUNK = 1 << 20
 BLOB = 4 << 20
 TILE = 512
-#: Pairs of a node that the first round verifies, and by how much each further round takes more.
-TAKE = 16
+#: Shares that a node's pairs are dealt to by the other node's hash. The first round verifies a pair of each share, each
+#: further round SHARES times as many.
+SHARES = 16
 #: Pairs a task remembers, not to send them again; forgetting costs a repeated row, no result.
 SEEN = 1_000_000
 #: Words of the bitmap that lets through the ids of candidates: a fixed size.
@@ -145,24 +152,25 @@ def max_difference(total: int) -> int:
 
 
 @lru_cache(maxsize=1)
-def bands() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greatest size, k and number of parts of each band."""
+def bands() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greatest size, k, number of first-level parts and of second-level ones to each (1 or 3), of each band."""
     top, out = 0, []
     while top < 1 << 40:
         top = max(top + 1, int((top + 1) * BAND_RATIO))
         k = max_difference(2 * top)
-        out.append((top, k, k + 1 + (int(np.ceil(SLACK * (k + 1))) + 1 if k else 0)))
+        cuts = 3 if k >= DEEP else 1
+        needed = k // 2 + 1 if cuts == 3 else k + 1
+        out.append((top, k, needed + (int(np.ceil(SLACK * needed)) + 1 if k else 0), cuts))
     return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets, and whose each is."""
-    tops, ks, parts = bands()
+    tops, ks, parts, cuts = bands()
     sizes = np.diff(bounds)
     low = np.concatenate([[0], tops[:-1]]) + 1
     own = np.searchsorted(tops, sizes)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _A), dtype=np.uint64)])
-    high = h >> np.uint64(32)
+    mixed = _mix(h ^ _A)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     step = 0
     while True:
@@ -172,31 +180,45 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if not len(mine):
             return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         mine = mine[ks[band[mine]] > 0]  # with k = 0 only equal sets link, and those are one node
-        n_parts = np.zeros(len(sizes), np.int64)
-        n_parts[mine] = parts[band[mine]]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        np_of = n_parts[owner]
-        chosen = np.flatnonzero(np_of)
-        if len(chosen):
-            part = (high[chosen] * np_of[chosen].astype(np.uint64)) >> np.uint64(32)
-            o = owner[chosen]
-            new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (o[1:] != o[:-1])]))
-            first = chosen[new]
-            last = np.append(chosen[new[1:] - 1], chosen[-1]) + 1
-            inside, whose = sums[last] - sums[first], o[new]
-            number = part[new]
-            filled = np.bincount(whose, minlength=len(sizes))
-            weak = np.flatnonzero((n_parts > 0) & (n_parts - filled >= n_parts - np.where(n_parts > 0, ks[band], 0)))
-            if len(weak):  # too many empty parts: these sign, too
-                extra = [(np.setdiff1d(np.arange(n_parts[i], dtype=np.uint64), number[whose == i]), i) for i in weak.tolist()]
-                inside = np.concatenate([inside, *(np.zeros(len(e), np.uint64) for e, _ in extra)])
-                number = np.concatenate([number, *(e for e, _ in extra)])
-                whose = np.concatenate([whose, *(np.full(len(e), i) for e, i in extra)])
-            tag = number + (band[whose].astype(np.uint64) << np.uint64(40))
-            out.append((_mix(_mix(inside + _A) ^ (tag * _C)), whose))
+        for cut in (1, 3):
+            some = mine[cuts[band[mine]] == cut]
+            if len(some):
+                out.append(_enumerated(h, mixed, bounds, sizes, some, band[some], parts[band[some]], ks[band[some]], cut))
         step += 1
 
 
+def _enumerated(h, mixed, bounds, sizes, some, band, n1, k, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sets ``some``, each in its band: of each first-level part the subsets of all but one of its
+    ``cut`` second-level parts (of the one there is, if it is not cut)."""
+    # cells: second-level parts, numbered through a set; sums of their elements' hashes tell their contents
+    n = n1 * cut
+    base = np.concatenate([[0], np.cumsum(n)])
+    length = sizes[some]
+    elements = np.repeat(bounds[:-1][some] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    who = np.repeat(np.arange(len(some)), length)
+    cell = ((h[elements] >> np.uint64(32)) * n[who].astype(np.uint64)) >> np.uint64(32)
+    at = base[:-1][who] + cell.astype(np.int64)  # ascending: hashes ascend in a set
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), at[1:] != at[:-1]]))
+    sums = np.zeros(int(base[-1]), np.uint64)
+    filled = np.zeros(len(sums), bool)
+    if len(new):
+        sums[at[new]] = np.add.reduceat(mixed[elements], new)
+        filled[at[new]] = True
+    owner = np.repeat(np.arange(len(some)), n1)
+    part = np.arange(len(owner)) - np.repeat(base[:-1] // cut, n1)
+    sums, filled = sums.reshape(-1, cut), filled.reshape(-1, cut)
+    if cut == 1:
+        inside, any_ = sums, filled
+    else:  # without each of the three in turn; an empty cell adds nothing
+        inside = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
+        any_ = filled.sum(axis=1)[:, None] - filled > 0
+    weak = np.bincount(owner, weights=~any_.all(axis=1), minlength=len(some))
+    sign_empty = weak >= n1 - (k // 2 if cut == 3 else k)
+    row, which = np.nonzero(any_ | sign_empty[owner][:, None])
+    tag = part[row].astype(np.uint64) * np.uint64(4) + which.astype(np.uint64) + (band[owner[row]].astype(np.uint64) << np.uint64(40))
+    return _mix(_mix(inside[row, which] + _A) ^ (tag * _C)), some[owner[row]]
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Parity of the elements that fall on each bit; 64 bits to about twice as many as elements."""
     n = 1 << max(6, int(len(s)).bit_length())
@@ -248,6 +270,11 @@ def _sizes(batches) -> Iterator[pa.RecordBatch]:
         )
 
 
+def range_of(x: np.ndarray, n: int) -> np.ndarray:
+    """Which of n < 2^32 ranges of about equal length each 64-bit number is in; no list of the ranges is needed."""
+    return (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
 def _signed(batches, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, signatures and nodes) of about BLOB bytes of text at a time."""
     sigs: list[np.ndarray] = []
@@ -260,9 +287,9 @@ def _signed(batches, n_buckets: int) -> Iterator[pa.RecordBatch]:
         s, n = s[order], n[order]
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])  # copies near each other
         s, n = s[new], n[new]
-        cut = np.searchsorted(s, np.array([i * (1 << 64) // n_buckets for i in range(n_buckets)], np.uint64))
-        cut = np.append(cut, len(s))
-        rows = [(i, np.ascontiguousarray(s[a:b].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() + n[a:b].tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        bucket = range_of(s, n_buckets)
+        cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(s)]
+        rows = [(int(bucket[a]), np.ascontiguousarray(s[a:b].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() + n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
     for _, texts in _chunks(batches):
@@ -472,22 +499,23 @@ def components(fresh: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _rounds(pairs: DataFrame, docs: DataFrame, wanted: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-    """Verify pairs(a, b) of candidates until each is verified or connected; the components."""
-    take, text = TAKE, None
+    """Verify pairs(a, b) of candidates until each is verified or connected; the components. b is the end that has few
+    pairs, where one of them has: its pairs are ranked, share by share."""
+    take, text = 1, None
     while not pairs.isEmpty():
         if text is None:
             ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             text = materialize(_load(docs, wanted.join(ends, "node", "left_semi"), True), "texts", "none")
         if labels is not None:
             pairs = _endpoints(pairs, labels).where("ca <> cb").select("a", "b")
-        ranked = materialize(pairs.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("a"))), "ranked")
+        ranked = materialize(pairs.withColumn("r", F.row_number().over(W.partitionBy("b", F.pmod(F.xxhash64("a"), F.lit(SHARES))).orderBy("a"))), "ranked")
         now = ranked.where(F.col("r") <= take).select("a", "b")
         full = now.join(text.withColumnRenamed("node", "b").withColumnRenamed("ztext", "text_b"), "b").join(text.withColumnRenamed("node", "a").withColumnRenamed("ztext", "text_a"), "a")
         fresh = materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, linked boolean"), "verified").where("linked").select("a", "b")
         if not fresh.isEmpty():
             labels = components(fresh, labels)
         pairs = ranked.where(F.col("r") > take).select("a", "b")
-        take *= TAKE
+        take *= SHARES
     return labels
 
 
@@ -496,7 +524,12 @@ def _slot(column: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id. The tables made on the way are deleted."""
+    with temporary(docs.sparkSession):
+        return materialize(_near_duplicates(docs), "near-duplicates", result=True)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = materialize(docs.mapInArrow(_sizes, "doc_id long, n long, node long, fp binary"), "sizes")
@@ -510,7 +543,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     degree = two.select("node").union(two.select("first")).union(many.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     center = many.join(degree, "node").groupBy("gid").agg(F.max(F.struct("degree", "node"))["node"].alias("first"))
     spokes = many.join(center, "gid").where("node <> first").select("first", "node")
-    star = materialize(two.union(spokes).select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "star")
+    # a: a center, b: one around it, which has no more pairs than signatures
+    pair = [F.least("first", "node").alias("x"), F.greatest("first", "node").alias("y")]
+    star = two.union(spokes).groupBy(*pair).agg(F.min("node").alias("b")).select((F.col("x").bitwiseXOR(F.col("y")).bitwiseXOR(F.col("b"))).alias("a"), "b")
+    star = materialize(star, "star")
     nodes = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
     wanted = materialize(reps.join(nodes, "node"), "wanted")
     about = materialize(_load(docs, wanted, False), "candidates")
@@ -530,7 +566,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "gid", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), "node", "comp", "n", "bits",
         F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1).cast("long").alias("side"),
     )
-    more = rest.repartition("gid", "x", "y").sortWithinPartitions("gid", "x", "y").mapInArrow(_tiles, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    more = rest.repartition("gid", "x", "y").sortWithinPartitions("gid", "x", "y").mapInArrow(_tiles, "a long, b long").distinct()
+    more = more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     labels = _rounds(materialize(more, "more"), docs, wanted, labels)
 
     if labels is None:
