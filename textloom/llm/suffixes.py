@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import materialize, table, temporary
 
 LENGTH = 50
 K = 20
@@ -48,6 +48,8 @@ CHUNK = 1 << 17
 #: Bytes of text to a hash range and to a range of suffixes; both bound what one group of rows holds.
 RANGE_BYTES = 8 << 20
 SAMPLES = 64
+#: Low bytes of a prefix's hash that are sent to its range.
+HASH_BYTES = 5
 SAMPLED_BLOCKS = 2000
 
 _rng = np.random.default_rng(20240607)
@@ -187,11 +189,12 @@ def _hash_rows(batches, n_buckets: int) -> Iterator[pa.RecordBatch]:
         block = Block.of(row)
         _, d, h = block.suffixes()
         distinct, multi = _distinct(h, block.ids[d])
-        cut = np.searchsorted(distinct, _edges(n_buckets))
-        out = []
-        for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b > a:
-                out.append((i, row["block"], distinct[a:b].tobytes(), np.packbits(multi[a:b]).tobytes()))
+        if not len(distinct):
+            continue
+        bucket = range_of(distinct, n_buckets)
+        cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(distinct)]
+        low = np.ascontiguousarray(distinct.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
+        out = [(int(bucket[a]), row["block"], low[a:b].tobytes(), np.packbits(multi[a:b]).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         if out:
             yield _batch(_HASHES, out)
 
@@ -206,17 +209,26 @@ def _distinct(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
 
 
-def _edges(n: int) -> np.ndarray:
-    """Lower bounds of n equal hash ranges, and a bound above all but the greatest hash, which the last range has."""
-    return np.array([i * (1 << 64) // n for i in range(n)] + [(1 << 64) - 1], np.uint64)
+def range_of(x: np.ndarray, n: int) -> np.ndarray:
+    """Which of n < 2^32 ranges of about equal length each 64-bit number is in; no list of the ranges is needed."""
+    return (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    """Hashes of HASH_BYTES bytes each as numbers."""
+    low = np.frombuffer(blob, np.uint8).reshape(-1, HASH_BYTES)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :HASH_BYTES] = low
+    return out.view(np.uint64).ravel()
 
 
 _BITS_SQL = "block long, bucket int, bits binary"
 
 
 def _answer(rows: pa.Table) -> pa.Table:
-    """Of one hash range: for each block that has some, a bit per hash that two documents share."""
-    blocks, hashes = rows.column("block").to_pylist(), [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+    """Of one hash range: for each block that has some, a bit per hash that two documents share. Hashes keep their low
+    bytes beside their range's number: a chance agreement lets through one more candidate."""
+    blocks, hashes = rows.column("block").to_pylist(), [_wide(x) for x in rows.column("hashes").to_pylist()]
     multi = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)).astype(bool) for m, h in zip(rows.column("multi").to_pylist(), hashes, strict=True)]
     every = np.concatenate(hashes)
     every.sort()
@@ -246,10 +258,10 @@ def _suffix_rows(batches, n_buckets: int, splitters: np.ndarray) -> Iterator[pa.
         block = Block.of(row)
         p, d, h = block.suffixes()
         distinct, _ = _distinct(h, block.ids[d])
-        edges = np.searchsorted(distinct, _edges(n_buckets))
+        bucket = range_of(distinct, n_buckets)
         chosen = np.zeros(len(distinct), bool)
         for answer in row["answers"]:
-            a, b = edges[answer["bucket"]], edges[answer["bucket"] + 1]
+            a, b = np.searchsorted(bucket, [answer["bucket"], answer["bucket"] + 1])
             chosen[a:b] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a).astype(bool)
         keep = chosen[np.searchsorted(distinct, h)]
         p, d = p[keep], d[keep]
@@ -269,7 +281,7 @@ def _suffix_rows(batches, n_buckets: int, splitters: np.ndarray) -> Iterator[pa.
         x = x[first]
         lead = np.ascontiguousarray(x[:, :LEAD]).view(">u8").astype(np.uint64)
         to = _range_of(lead, splitters)
-        order = np.argsort(to, kind="stable")
+        order = np.lexsort((lead[:, 1], lead[:, 0]))  # by range, as these are of leads; neighbours share bytes, for compression
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         out = []
@@ -452,9 +464,11 @@ def _masked(docs: DataFrame, block_bytes: int, range_bytes: int) -> DataFrame:
     splitters = np.unique(keys[np.linspace(0, len(keys) - 1, n + 1, dtype=np.int64)[1:-1]]) if len(keys) and n > 1 else np.zeros(0, f"S{LEAD}")
 
     hashes = blocks.select("block", "ids", "lengths", "text").mapInArrow(lambda b: _hash_rows(b, n), _HASHES_SQL)
-    bits = materialize(hashes.groupBy("bucket").applyInArrow(_answer, _BITS_SQL), "bits")
-    answers = bits.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    found = materialize(blocks.select("block", "ids", "lengths", "text").join(answers, "block").mapInArrow(lambda b: _suffix_rows(b, n, splitters), _SUFFIXES_SQL), "suffixes", "none")
+    with temporary(spark):
+        bits = materialize(hashes.groupBy("bucket").applyInArrow(_answer, _BITS_SQL), "bits")
+        answers = bits.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+        found = blocks.select("block", "ids", "lengths", "text").join(answers, "block").mapInArrow(lambda b: _suffix_rows(b, n, splitters), _SUFFIXES_SQL)
+        found = materialize(found, "suffixes", "none", result=True)
     done = materialize(found.where("bucket >= 0").groupBy("bucket").applyInArrow(_bucket, _DONE_SQL), "covered", "none")
     done = done.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
     place = found.where("bucket = -1").select("block", F.col("blob").alias("place"))
@@ -464,7 +478,8 @@ def _masked(docs: DataFrame, block_bytes: int, range_bytes: int) -> DataFrame:
 
 def dedup_digest(docs: DataFrame, block_bytes: int = BLOCK, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs(doc_id, text) -> sizes, counts of removed bytes and runs, digest of what is left."""
-    out = _masked(docs, block_bytes, range_bytes).mapInArrow(_digest, _RESULT_SQL)
+    with temporary(docs.sparkSession):
+        out = materialize(_masked(docs, block_bytes, range_bytes).mapInArrow(_digest, _RESULT_SQL), "digests", result=True)
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     zero = F.lit(0).cast("long")
     alone = docs.where(F.col("doc_id").isNull()).select(
@@ -475,7 +490,8 @@ def dedup_digest(docs: DataFrame, block_bytes: int = BLOCK, range_bytes: int = R
 
 def dedup(docs: DataFrame, block_bytes: int = BLOCK, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs(doc_id, text) -> doc_id and the bytes that are left (they may cut a character)."""
-    out = _masked(docs, block_bytes, range_bytes).mapInArrow(_cut, "doc_id long, kept binary")
+    with temporary(docs.sparkSession):
+        out = materialize(_masked(docs, block_bytes, range_bytes).mapInArrow(_cut, "doc_id long, kept binary"), "kept", result=True)
     alone = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
     return out.unionByName(alone)
 
