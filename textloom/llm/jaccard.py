@@ -58,12 +58,12 @@ SLACK = 0.15
 DEEP = 8
 CHUNK = 1 << 20
 BLOB = 4 << 20
-TILE = 512
+TILE = 256
+#: Least groups that a node is known by in all of its groups, so that a pair comes out of one of those it shares.
+FIRSTS = 8
 #: Shares that a node's pairs are dealt to by the other node's hash. The first round verifies a pair of each share, each
 #: further round SHARES times as many.
 SHARES = 16
-#: Pairs a task remembers, not to send them again; forgetting costs a repeated row, no result.
-SEEN = 1_000_000
 #: Words of the bitmap that lets through the ids of candidates: a fixed size.
 SIEVE = 1 << 17
 
@@ -411,14 +411,17 @@ def folded(bits: list[bytes]) -> np.ndarray:
 
 
 def _tile(rows: pa.Table) -> tuple[list[int], list[int]]:
-    """Possible pairs of different components between two tiles of one group (or in one)."""
+    """Possible pairs of different components between two tiles of one group (or in one).
+
+    Of a pair whose nodes both have a group among their FIRSTS, only the least such group makes it.
+    """
     node, comp, n, side = (np.asarray(rows.column(c), np.int64) for c in ("node", "comp", "n", "side"))
     left, right = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2))
     a: list[int] = []
     b: list[int] = []
     if not len(right) or not len(left) or comp.min() == comp.max():
         return a, b
-    bits = rows.column("bits").to_pylist()
+    bits, firsts, gid = rows.column("bits").to_pylist(), list(map(frozenset, rows.column("firsts").to_pylist())), rows.column("gid")[0].as_py()
     words = folded(bits)
     for i in left.tolist():
         near = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
@@ -427,24 +430,20 @@ def _tile(rows: pa.Table) -> tuple[list[int], list[int]]:
         r = right[near]
         r = r[np.bitwise_count(words[r] ^ words[i]).sum(axis=1) <= max_difference(n[r] + n[i])]
         for j in r.tolist():
-            if possible(int(n[i]), int(n[j]), bits[i], bits[j]):
+            if min(firsts[i] & firsts[j], default=gid) == gid and possible(int(n[i]), int(n[j]), bits[i], bits[j]):
                 a.append(int(min(node[i], node[j])))
                 b.append(int(max(node[i], node[j])))
     return a, b
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_tile of each (gid, x, y), whose rows follow each other; a pair goes out once per task's memory of SEEN."""
+    """_tile of each (gid, x, y), whose rows follow each other."""
     parts: list[pa.RecordBatch] = []
     key = None
-    seen: set[tuple[int, int]] = set()
 
     def flush() -> pa.RecordBatch | None:
-        new = [p for p in zip(*_tile(pa.Table.from_batches(parts)), strict=True) if p not in seen]
-        if len(seen) > SEEN:
-            seen.clear()
-        seen.update(new)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"]) if new else None
+        a, b = _tile(pa.Table.from_batches(parts))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
 
     for batch in batches:
         k = np.stack([np.asarray(batch.column(c), np.int64) for c in ("gid", "x", "y")])
@@ -558,12 +557,15 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     named = many.join(labels, "node", "left") if labels is not None else many.withColumn("comp", F.lit(None).cast("long"))
     named = named.select("gid", "node", "m", F.coalesce("comp", "node").alias("comp"))
     apart = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    rest = named.join(apart, "gid").join(about, "node")
+    rest = materialize(named.join(apart, "gid"), "apart")
+    # a node has no more groups than signatures
+    firsts = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("gid")), 1, FIRSTS).alias("firsts"))
+    rest = rest.join(firsts, "node").join(about, "node")
     # tiles of a group meet in pairs; a node goes to as many tasks as its group has tiles
     tiles = F.ceil(F.col("m") / TILE).cast("long")
     rest = rest.withColumn("t", F.pmod(F.xxhash64("node"), tiles)).withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     rest = rest.select(
-        "gid", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), "node", "comp", "n", "bits",
+        "gid", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), "node", "comp", "n", "bits", "firsts",
         F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1).cast("long").alias("side"),
     )
     more = rest.repartition("gid", "x", "y").sortWithinPartitions("gid", "x", "y").mapInArrow(_tiles, "a long, b long").distinct()
