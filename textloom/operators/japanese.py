@@ -11,7 +11,7 @@ import re
 import unicodedata
 from decimal import Decimal, localcontext
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,7 +208,24 @@ def dropping(tokens: list[dict], drop) -> list[dict]:
     return out
 
 
-def part_of_speech_stop(tokens: list[dict], tags: frozenset[str]) -> list[dict]:
+#: The tags and words that are dropped unless others are given.
+STOP_TAGS = frozenset(
+    """
+接続詞 助詞 助詞-格助詞 助詞-格助詞-一般 助詞-格助詞-引用 助詞-格助詞-連語 助詞-接続助詞 助詞-係助詞 助詞-副助詞 助詞-間投助詞 助詞-並立助詞 助詞-終助詞
+助詞-副助詞／並立助詞／終助詞 助詞-連体化 助詞-副詞化 助詞-特殊 助動詞 記号 記号-一般 記号-読点 記号-句点 記号-空白 記号-括弧開 記号-括弧閉 その他-間投 フィラー 非言語音
+""".split()
+)
+STOP_WORDS = frozenset(
+    """
+の に は を た が で て と し れ さ ある いる も する から な こと として い や れる など なっ ない この ため その あっ よう また もの という あり まで られ なる へ か だ
+これ によって により おり より による ず なり られる において ば なかっ なく しかし について せ だっ その後 できる それ う ので なお のみ でき き つ における および いう
+さらに でも ら たり その他 に関する たち ます ん なら に対して 特に せる 及び これら とき では にて ほか ながら うち そして とともに ただし かつて それぞれ または お ほど
+ものの に対する ほとんど と共に といった です とも ところ ここ
+""".split()
+)
+
+
+def part_of_speech_stop(tokens: list[dict], tags: frozenset[str] = STOP_TAGS) -> list[dict]:
     return dropping(tokens, lambda t: bool(t.get("part_of_speech")) and t["part_of_speech"] in tags)
 
 
@@ -216,71 +233,46 @@ def simple_lower(text: str) -> str:
     return text.replace("İ", "i").translate(lower_map())
 
 
-def stop(tokens: list[dict], words: frozenset[str], ignore_case: bool = True) -> list[dict]:
+def stop(tokens: list[dict], words: frozenset[str] = STOP_WORDS, ignore_case: bool = True) -> list[dict]:
     known = {simple_lower(w) for w in words} if ignore_case else words
     return dropping(tokens, lambda t: (simple_lower(t["text"]) if ignore_case else t["text"]) in known)
 
 
-def reading_form(tokens: list[dict]) -> list[dict]:
-    """Text becomes the reading; without one, a text with hiragana becomes katakana."""
+def reading_form(tokens: list[dict], romaji: bool = False) -> list[dict]:
+    """Text becomes the reading; without one, a text with hiragana becomes katakana. With ``romaji``, in Latin letters."""
     shift = {c: c + 0x60 for c in range(0x3041, 0x3097)}
-    return [{**t, "text": t["reading"] if t.get("reading") is not None else t["text"].translate(shift)} for t in tokens]
+    read = [t["reading"] if t.get("reading") is not None else t["text"].translate(shift) for t in tokens]
+    return [{**t, "text": hepburn(r) if romaji else r} for t, r in zip(tokens, read, strict=True)]
+
+
+#: Pieces of a list of tokens, written as a letter each (n numeral, p separator, s stacked, o other): a run of numerals with
+#: what may stop it, or one token.
+_PIECES = re.compile("(?P<run>n[np]*)(?P<stop>s?)|.")
 
 
 def number(tokens: list[dict], numerals: Numerals = JAPANESE) -> list[dict]:
-    """A run of numeral tokens (separators within) becomes one with the value; its other attributes are
-    those of the token that ended the run. A stacked token ends the run unmerged: of what was read only its
-    first token and the stacked one come out, and what was gathered stays for the next run."""
+    """A run of numeral tokens (separators within) becomes one with the value; its other attributes are those of the token
+    after the run, or of its last. A stacked token stops a run unmerged: the run's first token and the stacked one, with the
+    tokens it spans, come out, and what the run's other tokens but the last said is put before the next run's text."""
+    kind = lambda t: "s" if t["position_increment"] == 0 else "n" if numerals.is_numeral(t["text"]) else "p" if numerals.is_punctuation(t["text"]) else "o"
+    kinds = "".join(map(kind, tokens))
     out: list[dict] = []
-    gathered, let = "", 0
-    queue = list(tokens)
-    at = 0
-    held: dict | None = None
-    while at < len(queue) or held is not None:
-        if held is not None:
-            out.append(held)
-            held = None
-            continue
-        t = queue[at]
-        at += 1
-        if let:
-            let -= 1
-            out.append(t)
-            continue
-        if t["position_increment"] == 0:
-            let = max(0, t.get("position_length", 1) - 1)
-            out.append(t)
-            continue
-        if not numerals.is_numeral(t["text"]):
-            out.append(t)
-            continue
-        first, now, text, end = t, t, t["text"], t["byte_end"]
-        ended = stacked = False
-        while True:
-            end = now["byte_end"]
-            if at < len(queue):
-                now = queue[at]
-                at += 1
-            else:
-                ended = True
-            if now["position_increment"] == 0:
-                stacked = True
-                break
-            gathered += text
-            if ended:
-                break
-            text = now["text"]
-            if not (numerals.is_numeral(text) or numerals.is_punctuation(text)):
-                break
-        if stacked:
-            let = max(0, now.get("position_length", 1) - 1)
-            out.append(first)
-            held = now
-            continue
-        out.append({**now, "text": numerals.normalize(gathered), "byte_start": first["byte_start"], "byte_end": end})
-        gathered = ""
-        if not ended:
-            held = now
+    before, at = "", 0
+    while at < len(tokens):
+        piece = _PIECES.match(kinds, at)
+        run = tokens[at : at + len(piece["run"] or "")]
+        at = piece.end()
+        if kinds[at - 1] == "s":
+            spanned = tokens[at - 1].get("position_length", 1) or 1
+            out += run[:1] + tokens[at - 1 : at - 1 + spanned]
+            before += "".join(t["text"] for t in run[:-1])
+            at += spanned - 1
+        elif run:
+            value = numerals.normalize(before + "".join(t["text"] for t in run))
+            out.append({**tokens[min(at, len(tokens) - 1)], "text": value, "byte_start": run[0]["byte_start"], "byte_end": run[-1]["byte_end"]})
+            before = ""
+        else:
+            out.append(tokens[at - 1])
     return out
 
 
@@ -313,23 +305,127 @@ def base_form(token: Column) -> Column:
 
 
 def _text_udf(f):
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else f(t))
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else f(t) for t in texts.to_pylist()], pa.string())
 
     return run
 
 
+_width = _text_udf(lambda t: cjk_width(t)[0])
+_hepburn = _text_udf(lambda t: hepburn(t))
+_marks = {(kanji, kana): _text_udf(lambda t, kanji=kanji, kana=kana: iteration_marks(t, kanji, kana)) for kanji in (False, True) for kana in (False, True)}
+_numbers = {id(n): _text_udf(n.normalize) for n in (JAPANESE, KOREAN)}
+
+
 def width(text: Column) -> Column:
-    return _text_udf(lambda t: cjk_width(t)[0])(text)
+    return _width(text)
 
 
 def expand_iteration_marks(text: Column, kanji: bool = True, kana: bool = True) -> Column:
-    return _text_udf(lambda t: iteration_marks(t, kanji, kana))(text)
+    return _marks[kanji, kana](text)
 
 
 def normalize_number(text: Column, numerals: Numerals = JAPANESE) -> Column:
-    return _text_udf(numerals.normalize)(text)
+    return (_numbers.get(id(numerals)) or _text_udf(numerals.normalize))(text)
+
+
+def romanize(text: Column) -> Column:
+    """Hepburn romanization of katakana."""
+    return _hepburn(text)
+
+
+def filtered(tokens: Column, kind: T.ArrayType, *steps) -> Column:
+    """A column array<struct> of type ``kind`` through token filters (functions of a list of dicts), in one call."""
+
+    @F.arrow_udf(kind)
+    def run(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows.to_pylist():
+            for step in steps if row is not None else ():
+                row = step(row)
+            out.append(row)
+        return pa.array(out, rows.type)
+
+    return run(tokens)
+
+
+def positions(tokens: Column) -> Column:
+    """array<int> of positions: the sum of a token's and all earlier increments, less one."""
+    steps = F.transform(tokens, lambda t: t["position_increment"])
+    return F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(-1), lambda a, x: a + x))
+
+
+def next_base(tokens: Column, base: Column) -> Column:
+    """Position that the next text of a row starts at: past the last position that a token of this one reaches."""
+    ends = F.zip_with(positions(tokens), tokens, lambda p, t: p + t["position_length"])
+    return base + F.coalesce(F.array_max(ends), F.lit(0))
+
+
+def correct_offset(offset: Column, map_: Column) -> Column:
+    """Byte of the original text for a byte of a filtered one; map: array<struct<filtered, original>>, ascending: the last
+    entry at or before the byte, and what the byte is past it."""
+    entry = F.element_at(F.filter(map_, lambda m: m["filtered"] <= offset), -1)
+    return F.coalesce(entry["original"] + (offset - entry["filtered"]), offset)
+
+
+# -- Hepburn romanization ---------------------------------------------------------------------------
+
+#: Rows of kana by consonant, vowels a i u e o, a dot where there is none; and the irregular syllables.
+_ROWS = {
+    "": "アイウエオ", "k": "カキクケコ", "s": "サシスセソ", "t": "タチツテト", "n": "ナニヌネノ", "h": "ハヒフヘホ", "m": "マミムメモ", "y": "ヤ.ユ.ヨ", "r": "ラリルレロ", "w": "ワ....",
+    "g": "ガギグゲゴ", "z": "ザジズゼゾ", "d": "ダヂヅデド", "b": "バビブベボ", "p": "パピプペポ", "v": "ヷヸ.ヹヺ", "l": "",
+}
+_IRREGULAR = {"シ": "shi", "チ": "chi", "ツ": "tsu", "フ": "fu", "ジ": "ji", "ヂ": "ji", "ヅ": "zu", "ヰ": "i", "ヱ": "e", "ヲ": "o", "ヴ": "v", "ッ": "", "ー": "", "ヮ": "wa"}
+_FORMS = {
+    "ウ": ("w", "ァィゥェォ"), "ヴ": ("v", "ァィェォ"), "ク": ("kw", "ァィェォヮ"), "グ": ("gw", "ァィェォヮ"), "ツ": ("ts", "ァィェォ"), "フ": ("f", "ァィェォ"), "ス": ("s", "ィ"), "ズ": ("z", "ィ"),
+    "テ": ("t", "ィ"), "デ": ("d", "ィ"), "ト": ("t", "ゥ"), "ド": ("d", "ゥ"), "ホ": ("h", "ゥ"), "イ": ("y", "ィェ"),
+}
+_GLIDES = {"ウ": ("wy", "ュ"), "ヴ": ("vy", "ャュョ"), "ツ": ("tsy", "ュ"), "テ": ("ty", "ュ"), "デ": ("dy", "ュ"), "フ": ("fy", "ャュョ")}
+_SMALL = {"ァ": "a", "ィ": "i", "ゥ": "u", "ェ": "e", "ォ": "o", "ャ": "ya", "ュ": "yu", "ョ": "yo", "ヮ": "wa"}
+
+
+def _syllables() -> dict[str, str]:
+    out = {kana: c + v for c, row in _ROWS.items() for kana, v in zip(row, "aiueo", strict=False) if kana != "."} | _SMALL | _IRREGULAR
+    out |= {kana + "゜": "l" + v for kana, v in zip("ラリルレロ", "aiueo", strict=True)}
+    for kana, (head, small) in _FORMS.items():
+        out |= {kana + x: ("yi" if kana + x == "イィ" else head + _SMALL[x][-1]) for x in small}
+    for kana, (head, small) in _GLIDES.items():
+        out |= {kana + x: head + _SMALL[x][-1] for x in small}
+    out |= {"ヴィェ": "vye", "フィェ": "fye"}
+    for kana in "キシチニヒミリギジヂビピ":  # with a small y-kana or e
+        head = out[kana][:-1] + ("" if kana in "シチジヂ" else "y")
+        out |= {kana + x: head + _SMALL[x][-1] for x in ("ャュョェ" if kana != "ヂ" else "ャュョ")}
+        out |= {kana + "ョウ": head + "ō", kana + "ュウ": head + "ū"}
+    out |= {kana + "ウ": c + "ō" for c, row in _ROWS.items() for kana in row[4:5] if kana != "." and c != "v"}
+    return out
+
+
+_SYLLABLES = _syllables()
+_SYLLABLE = re.compile("|".join(sorted(map(re.escape, _SYLLABLES), key=len, reverse=True)))
+_DOUBLING = {c: kana for c, kana in (("k", "カキクケコ"), ("s", "サシスセソ"), ("t", "タチツテト"), ("p", "パピプペポ"))}
+_DOUBLED = {kana: c for c, row in _DOUBLING.items() for kana in row}
+_N = {**dict.fromkeys("アイウエオヤユヨ", "n'"), **dict.fromkeys("バビブベボパピプペポマミムメモ", "m")}
+
+
+def hepburn(text: str) -> str:
+    """Katakana in Latin letters, long o and u with a macron where they are spelled with ウ; other characters stay."""
+    out, at = [], 0
+    while at < len(text):
+        c, after = text[at], text[at + 1 : at + 2]
+        if c == "ン":
+            out.append(_N.get(after, "n"))
+        elif c == "ッ":
+            out.append(_DOUBLED.get(after, ""))
+        elif m := _SYLLABLE.match(text, at):
+            out.append(_SYLLABLES[m[0]])
+            at = m.end()
+            continue
+        else:
+            out.append(c)
+        at += 1
+    return "".join(out)
+
 
 # -- romanization by keystrokes ---------------------------------------------------------------------
 
@@ -363,32 +459,24 @@ _LETTERS = re.compile("[a-zａ-ｚ]*")
 _KATAKANA_OR_LETTERS = re.compile("[゠-ヿa-zａ-ｚ]*")
 
 
+def _typed_reading(t: dict) -> str:
+    """What is typed for a token: its reading; without one, kana read as themselves, others as the word null."""
+    if t.get("reading") is not None:
+        return t["reading"]
+    return t["text"].translate({c: c + 0x60 for c in range(0x3041, 0x3097)}) if _KANA.fullmatch(t["text"]) else "null"
+
+
 def completion(tokens: list[dict], table: dict[str, list[str]], query: bool = False) -> list[dict]:
     """Each surface with, stacked on it, the keystrokes that type its reading; for queries, neighbouring kana
     tokens are one, and letters after another token belong to it (a half-typed syllable)."""
+    kinds = "".join("k" if _KANA.fullmatch(t["text"]) else "l" if _LETTERS.fullmatch(t["text"]) else "o" for t in tokens)
     out: list[dict] = []
-
-    def emit(surface: str, reading: str, start: int, end: int) -> None:
+    for group in re.finditer("(?:k+|o)l?|l" if query else ".", kinds):
+        part = tokens[group.start() : group.end()]
+        typed = [t["text"] if i and kinds[group.start() + i] == "l" else _typed_reading(t) for i, t in enumerate(part)]
+        reading = "".join(typed)
         spelled = keystrokes(reading, table) if reading and _KATAKANA_OR_LETTERS.fullmatch(reading) else []
-        for i, text in enumerate([surface, *spelled]):
-            out.append({"text": text, "position_increment": int(i == 0), "position_length": 1, "byte_start": start, "byte_end": end})
-
-    wait: list | None = None
-    for t in tokens:
-        surface = t["text"]
-        reading = t.get("reading")
-        if reading is None:  # unknown words: kana read as themselves, others as the word null
-            reading = surface.translate({c: c + 0x60 for c in range(0x3041, 0x3097)}) if _KANA.fullmatch(surface) else "null"
-        if wait is None:
-            wait = [surface, reading, t["byte_start"], t["byte_end"]]
-        elif query and not _LETTERS.fullmatch(wait[0]) and _LETTERS.fullmatch(surface):
-            emit(wait[0] + surface, wait[1] + surface, wait[2], t["byte_end"])
-            wait = None
-        elif query and _KANA.fullmatch(wait[0]) and _KANA.fullmatch(surface):
-            wait = [wait[0] + surface, wait[1] + reading, wait[2], t["byte_end"]]
-        else:
-            emit(*wait)
-            wait = [surface, reading, t["byte_start"], t["byte_end"]]
-    if wait is not None:
-        emit(*wait)
+        span = {"position_length": 1, "byte_start": part[0]["byte_start"], "byte_end": part[-1]["byte_end"]}
+        surface = "".join(t["text"] for t in part)
+        out += [{"text": x, "position_increment": int(i == 0), **span} for i, x in enumerate([surface, *spelled])]
     return out

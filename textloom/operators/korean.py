@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -68,42 +70,60 @@ def _units(s: str) -> bytes:
     return s.encode("utf-16-be", "surrogatepass")
 
 
-def _is_hangul(c: str) -> bool:
-    return "가" <= c <= "힣" or "ᄀ" <= c <= "ᇿ" or "ㄱ" <= c <= "ㆎ"
+#: Code points of the class of Korean letters.
+HANGUL = ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7A3))
 
 
 def _right_id(rule: str) -> int:
-    last = rule[-1]
-    if not _is_hangul(last):
+    last = ord(rule[-1])
+    if not any(lo <= last <= hi for lo, hi in HANGUL):
         return RIGHT_PLAIN
     # a syllable without a final consonant is a multiple of 28 from the first; letters alone never are
-    return RIGHT_OPEN if ord(last) >= 0xAC00 and (ord(last) - 0xAC00) % 28 == 0 else RIGHT_CODA
+    return RIGHT_OPEN if last >= 0xAC00 and (last - 0xAC00) % 28 == 0 else RIGHT_CODA
 
 
-def user_dictionary(rules: str, lenient: bool = False) -> list[Noun]:
-    """Entries of rules ``surface [part ...]``, in order of their UTF-16 units; # starts a comment."""
-    found = []
+@dataclass(frozen=True)
+class _Rule:
+    """A line of a user dictionary by itself."""
+
+    line: int
+    text: str
+    surface: str
+    parts: tuple[str, ...]
+
+    @property
+    def key(self) -> bytes:
+        return _units(self.surface)
+
+    @property
+    def lengths(self) -> tuple[int, ...]:
+        return tuple(len(_units(p)) // 2 for p in self.parts)
+
+    def check(self) -> None:
+        """Parts fit into the surface, and none ends inside a character."""
+        if sum(self.lengths) > len(self.key) // 2:
+            raise UserDictionaryError("too_long", self.text.strip(), self.line)
+        ends = {len(_units(self.surface[:i])) // 2 for i in range(len(self.surface) + 1)}
+        if not ends.issuperset(itertools.accumulate(self.lengths)):
+            raise UserDictionaryError("splits_character", self.text.strip(), self.line)
+
+
+def _rules(rules: str) -> Iterator[_Rule]:
     for line, text in enumerate(re.split(r"\r\n|\r|\n", rules), 1):
-        text = text.partition("#")[0]
-        if any(c > " " for c in text):
-            surface, *parts = re.split(r"[ \t\n\x0B\f\r]+", text.rstrip(" \t\n\x0B\f\r"))
-            found.append((_units(surface), line, surface, parts, text))
-    found.sort(key=lambda x: x[0])
+        said = text.partition("#")[0]
+        if said.strip("".join(map(chr, range(33)))):
+            surface, *parts = re.split(r"[ \t\n\x0B\f\r]+", said.rstrip(" \t\n\x0B\f\r"))
+            yield _Rule(line, said, surface, tuple(parts))
+
+
+def user_dictionary(rules: str, lenient: bool = False) -> list[Noun]:
+    """Entries of rules ``surface [part ...]``, in order of their UTF-16 units; # starts a comment. Of rules with one surface
+    the first counts, if ``lenient``."""
     out: list[Noun] = []
-    last = None
-    for units, line, surface, parts, text in found:
-        if surface == last:
-            if lenient:
-                continue
-            raise UserDictionaryError("duplicate", surface, line)
-        last = surface
-        lengths = tuple(len(_units(p)) // 2 for p in parts)
-        if sum(lengths) > len(units) // 2:
-            raise UserDictionaryError("too_long", text.strip(), line)
-        at = 0
-        for n in lengths:
-            at += n
-            if 0 < at < len(units) // 2 and units[2 * at - 2] & 0xFC == 0xD8 and units[2 * at] & 0xFC == 0xDC:
-                raise UserDictionaryError("splits_character", text.strip(), line)
-        out.append(Noun(surface, _right_id(text), lengths))
+    for _, same in itertools.groupby(sorted(_rules(rules), key=lambda r: r.key), key=lambda r: r.key):
+        first, *again = same
+        first.check()
+        if again and not lenient:
+            raise UserDictionaryError("duplicate", first.surface, again[0].line)
+        out.append(Noun(first.surface, _right_id(first.text), first.lengths))
     return out
