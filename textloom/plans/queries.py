@@ -13,7 +13,7 @@ from ..functions import features, segment
 from ..functions.stopwords import LANGUAGES, stop_words
 from ..functions.unicode import fold_map
 from ..operators import corpus
-from ..operators.analyzer import Analyzer, ascii_fold, exploded, posexploded
+from ..operators.analyzer import STEMMERS, Analyzer, ascii_fold, exploded, posexploded
 from ..sources import tables
 
 #: Query texts of the scoring queries: fixed values.
@@ -162,6 +162,14 @@ def multi_input_positions(spark, sf_dir):
     return x.select("conv_id", long("position"), long("input_index"), "t.text")
 
 
+def set_operations(spark, sf_dir):
+    """Terms by whether the benchmark has them and the documents do: a full join of distinct terms."""
+    b = exploded(_read(spark, sf_dir, "benchmark", WHITESPACE.terms(F.col("text")).alias("w")), "w", "term").distinct().withColumn("in_benchmark", F.lit(True))
+    d = exploded(_words(spark, sf_dir).select("d"), "d", "term").distinct().withColumn("in_documents", F.lit(True))
+    some = b.join(d, "term", "full")
+    return some.groupBy(F.coalesce("in_benchmark", F.lit(False)).alias("in_benchmark"), F.coalesce("in_documents", F.lit(False)).alias("in_documents")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "whitespace_tokens": whitespace_tokens,
     "token_length_filter": token_length_filter,
@@ -172,10 +180,8 @@ QUERIES = {
     "word_break_counts": word_break_counts,
     "sentence_counts": sentence_counts,
     "analyze_full": analyze_full,
-    "stem_english": _stems("english"),
-    "stem_german": _stems("german"),
-    "stem_french": _stems("french"),
-    "stem_spanish": _stems("spanish"),
+    **{f"stem_{x}": _stems(x) for x in STEMMERS},
+    "set_operations": set_operations,
     "term_stats": term_stats,
     "significance": significance,
     "completeness": completeness,
@@ -238,6 +244,9 @@ _SQL = {
     **{f"stopwords_{x}": partial(_stop_sql, x) for x in LANGUAGES},
     "ascii_fold": _fold_sql,
     "uax29_words_latin": f"SELECT doc_id, (unnest(range(1, len(w) + 1)) - 1)::BIGINT AS position, unnest(w) AS text FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '{_WORD}'), lambda x: regexp_matches(x, '[^_]')) AS w FROM documents)",
+    "set_operations": f"""
+WITH b AS (SELECT DISTINCT unnest({_LOW}) AS term FROM benchmark), d AS (SELECT DISTINCT unnest({_LOW}) AS term FROM documents)
+SELECT b.term IS NOT NULL AS in_benchmark, d.term IS NOT NULL AS in_documents, count(*)::BIGINT AS n FROM b FULL JOIN d ON b.term = d.term GROUP BY ALL""",
     "term_stats": _TERMS,
     "significance": f"SELECT term, round(0.5 + 0.5 * ((ln(1000000.0) - ln(greatest(1.0, least(1000000.0, document_frequency * 1000000.0 / n)))) / ln(1000000.0)), 9) AS significance FROM ({_TERMS}), (SELECT count(*)::DOUBLE AS n FROM documents)",
     "completeness": _COMPLETE + " SELECT * FROM c",
