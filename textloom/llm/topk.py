@@ -114,24 +114,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) ->
     by_dim = queries.groupBy(F.size("vector").alias("dim")).count().collect()  # one row per vector length
     parts: list[DataFrame] = []
     for dim, n in sorted((r[0], r[1]) for r in by_dim):
-        slices = -(-n // block)
-        # blocks of ids by range, so that no more than a block's queries are ever on the driver
-        own = queries.where(F.size("vector") == dim)
-        edges = [None] * (slices + 1)
-        if slices > 1:
-            at = own.select(F.ntile(slices).over(W.orderBy("id")).alias("t"), "id").groupBy("t").agg(F.min("id")).orderBy("t").collect()
-            edges = [r[1] for r in at] + [None]
-            edges[0] = None
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            mine = own
-            if lo is not None:
-                mine = mine.where(F.col("id") >= lo)
-            if hi is not None:
-                mine = mine.where(F.col("id") < hi)
-            q = mine.orderBy("id", "vector").toArrow()
+        # dealt by hash to slices of two thirds of a block; one that is more than a block by chance makes two
+        slices = -(-3 * n // (2 * block))
+        own = queries.where(F.size("vector") == dim).withColumn("slice", F.pmod(F.xxhash64("id", "vector"), F.lit(slices)))
+        for i in range(slices):
+            q = own.where(F.col("slice") == i).orderBy("id", "vector").toArrow()
+            if not q.num_rows:
+                continue
             qs, _ = _matrix(q.column("vector").combine_chunks(), dim)
             ids = np.asarray(q.column("id"), np.int64)
-            parts.append(_block(spark, vectors, qs, ids, k, largest))
+            parts += [_block(spark, vectors, qs[j : j + block], ids[j : j + block], k, largest) for j in range(0, len(ids), block)]
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
     out = parts[0]
