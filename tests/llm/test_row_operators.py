@@ -74,7 +74,7 @@ def test_chat_template_is_checked():
             chat.Escaper(bad)
 
 
-def test_chat_round_trip(spark):
+def test_chat_round_trip(spark, tmp_path):
     rows = [
         (1, 0, "user", "</s>[INST] ok [/INST]", 1), (1, 1, "assistant", "\\ <s> done\\", 1), (2, 5, "assistant", "first", 1), (2, 6, None, None, 1),
         (3, 0, "user", "q", 1), (3, 0, "user", "q", 1), (None, 0, "user", "no id", 1), (4, 1, "[/INST]", "odd role", 1), (4, None, "system", "", 1),
@@ -97,6 +97,11 @@ def test_chat_round_trip(spark):
                 n += len(x[5])
         r = got[c]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), sha.hexdigest(), n, loss.hexdigest()), c
+    straight = {r.conv_id: r for r in chat.read_chat(chat.format_chat(df), in_order=True).collect()}
+    path = str(tmp_path / "segments")
+    chat.format_chat(df).repartition(11, "seq").write.parquet(path)
+    stored = {r.conv_id: r for r in chat.read_chat(spark.read.parquet(path)).collect()}
+    assert got == straight == stored
     assert got[1].valid and got[5].valid and not got[2].valid and not got[3].valid and not got[4].valid
     segments = chat.format_chat(df).where("conv_id = 1").orderBy("seq").collect()
     assert sum(len(s.text) for s in segments) == got[1].formatted_chars

@@ -12,7 +12,8 @@ first character, and backslashes are doubled, so no text can end a turn or open
 Defined results: null role and null text are empty; a null conv_id is a conversation of its own; a
 role the machine has no move for marks the turn ``ok = false`` and the conversation goes on from that
 role's own state, so every row is formatted; repeated rows are repeated turns; an empty table gives
-no segments; extra columns are ignored.
+no segments; extra columns are ignored. All rows without a conv_id are one sorted stream of one task: its memory is a
+batch's, its time is theirs.
 """
 
 from __future__ import annotations
@@ -192,12 +193,16 @@ def _digests(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[
         yield batch_of([reader.row()])
 
 
-def read_chat(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """Per conversation, what its formatted text holds, parsed back from the segments of format_chat, wherever these
-    were stored since: they are dealt and sorted by conversation (which moves nothing where they still are)."""
+def read_chat(segments: DataFrame, template: Template = DEFAULT, in_order: bool = False) -> DataFrame:
+    """Per conversation, what its formatted text holds, parsed back from the segments of format_chat.
+
+    Segments that were stored lie in any split: they are dealt and sorted by conversation. ``in_order`` says that they come
+    straight from format_chat, in one plan, so that they need not move again.
+    """
     rows = segments.select("conv_id", "seq", "text", "loss", "ok")
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
-    return dealt.mapInArrow(lambda batches: _digests(batches, template), _DIGESTS_SQL)
+    if not in_order:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return rows.mapInArrow(lambda batches: _digests(batches, template), _DIGESTS_SQL)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +210,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(1).select(
         F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(probe).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("x")
     ).select("x.*")
-    return read_chat(format_chat(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+    return read_chat(format_chat(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)), in_order=True)
 
 
 QUERIES = {"op2_chat_format": op2_chat_format}
