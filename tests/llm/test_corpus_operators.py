@@ -9,8 +9,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.llm import jaccard, mixing, secrets, suffixes, topk, warc
@@ -135,10 +133,21 @@ def test_jaccard_join(spark):
     assert sorted(map(tuple, out)) == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1)]
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.one_of(st.integers(1, 60), st.integers(1, 2000)), st.integers(0, 45), st.integers(0, 250), st.integers(0, 10**6))
-def test_linked_sets_share_a_signature_and_pass_the_filters(common, only_a, only_b, seed):
+@pytest.fixture(params=[8, jaccard.DEEP])
+def deep(request, monkeypatch):
+    """Signatures with both ways of cutting parts at work in small sets."""
+    monkeypatch.setattr(jaccard, "DEEP", request.param)
+    jaccard.bands.cache_clear()
+    yield
+    monkeypatch.undo()
+    jaccard.bands.cache_clear()
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_linked_sets_share_a_signature_and_pass_the_filters(deep, seed):
     g = np.random.default_rng(seed)
+    common = int(g.integers(1, 60) if seed % 2 else g.integers(1, 3000))
+    only_a, only_b = (int(x) for x in g.integers(0, max(2, common // 6), 2))
     x = np.unique(g.integers(0, 2**64, common + only_a + only_b, dtype=np.uint64))
     g.shuffle(x)
     a, b = np.sort(x[: common + only_a]), np.sort(np.concatenate([x[:common], x[common + only_a :]]))

@@ -54,8 +54,11 @@ PERCENT = 80
 BAND_RATIO = 1.4
 #: First-level parts beyond those needed, as a share of them.
 SLACK = 0.15
-#: Least k of a band whose first-level parts are cut in three: below, parts hold too few elements.
-DEEP = 8
+#: Least k of a band whose first-level parts are cut in three. Subsets are half as many again as parts, but agree by chance
+#: more seldom; that pays for long texts, which share passages with texts that they don't link with.
+DEEP = 256
+#: Low bytes of a signature that are sent to its range.
+SIGNATURE_BYTES = 4
 CHUNK = 1 << 20
 BLOB = 4 << 20
 TILE = 256
@@ -289,7 +292,7 @@ def _signed(batches, n_buckets: int) -> Iterator[pa.RecordBatch]:
         s, n = s[new], n[new]
         bucket = range_of(s, n_buckets)
         cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(s)]
-        rows = [(int(bucket[a]), np.ascontiguousarray(s[a:b].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() + n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        rows = [(int(bucket[a]), np.ascontiguousarray(s[a:b].view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES]).tobytes() + n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
     for _, texts in _chunks(batches):
@@ -311,15 +314,13 @@ _GROUPS_SQL = "gid long, node long, first long, m long"
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """Of one range of signatures, the nodes of those that two nodes or more have. Signatures keep 40 bits
+    """Of one range of signatures, the nodes of those that two nodes or more have. Signatures keep their low bytes
     beside their range's number: a chance agreement is one more candidate."""
     low, nodes = [], []
     for blob in rows.column("blob").to_pylist():
-        n = len(blob) // 13
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n).reshape(n, 5)
-        low.append(wide.view(np.uint64).ravel())
-        nodes.append(np.frombuffer(blob, np.int64, n, 5 * n))
+        n = len(blob) // (SIGNATURE_BYTES + 8)
+        low.append(np.frombuffer(blob, np.uint32, n).astype(np.uint64))
+        nodes.append(np.frombuffer(blob, np.int64, n, SIGNATURE_BYTES * n))
     s, n = np.concatenate(low), np.concatenate(nodes)
     del low, nodes
     # most signatures are alone; only the others are sorted with their nodes
@@ -335,7 +336,7 @@ def _shared(rows: pa.Table) -> pa.Table:
     m = np.diff(np.append(at, len(s)))
     first, count = np.repeat(n[at], m), np.repeat(m, m)
     some = count > 1
-    gid = s.astype(np.int64) | (rows.column("bucket")[0].as_py() << 40)
+    gid = s.astype(np.int64) | (rows.column("bucket")[0].as_py() << 8 * SIGNATURE_BYTES)
     # one row for each (first, node) of pairs; of larger groups all rows, for what is left to compare
     s_gid, s_n, s_f, s_m = gid[some], n[some], first[some], count[some]
     two = s_m == 2
