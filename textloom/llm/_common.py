@@ -40,18 +40,30 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while an operator runs inside temporary(): long texts make batches of fewer rows, so that a
+#: worker's memory does not follow their length.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Tables written since each temporary() that is open began, the innermost last.
 _open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that materialize() writes inside are deleted at the end, whether it ends well or not."""
+    """Tables that materialize() writes inside are deleted at the end, whether it ends well or not. Inside, Arrow batches
+    are of BATCH_BYTES; the session's own setting is back at the end."""
     mine: list[str] = []
     token = _open.set((*_open.get(), mine))
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
     try:
         yield
     finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
         _open.reset(token)
         for path in mine:
             remove(spark, path)

@@ -59,7 +59,7 @@ SLACK = 0.15
 DEEP = 256
 #: Low bytes of a signature that are sent to its range.
 SIGNATURE_BYTES = 4
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BLOB = 4 << 20
 TILE = 256
 #: Least groups that a node is known by in all of its groups, so that a pair comes out of one of those it shares.
